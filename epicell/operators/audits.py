@@ -190,7 +190,9 @@ def high_corr_pairs(
     pairs = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     # a constant column has no correlation; its extremes tell exactly, its rounded deviation may not
     varies = (F.max("x") > F.min("x")) & (F.max("y") > F.min("y"))
-    corr = pairs.groupBy("a", "b").agg(F.abs(F.corr("x", "y")).alias("abs_corr"), varies.alias("varies"))
+    # written out because corr() itself fails on a zero deviation in ANSI mode
+    value = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    corr = pairs.groupBy("a", "b").agg(F.abs(value).alias("abs_corr"), varies.alias("varies"))
     strong = corr.where(F.col("varies") & (F.col("abs_corr") >= thr)).drop("varies")
     return strong.orderBy(F.desc("abs_corr"), "a", "b").limit(k)
 
