@@ -162,12 +162,12 @@ def _(t):
     return quality.class_weight(t.scored, "label_7d")
 
 
-SPLIT_CASE = "CASE WHEN scored_us <= 757382400000000 THEN 'train' WHEN scored_us <= 852076800000000 THEN 'validation' ELSE 'test' END"
+SPLIT_CASE = "CASE WHEN scored_us <= 852076800000000 THEN 'train' WHEN scored_us <= 915148800000000 THEN 'validation' ELSE 'test' END"
 
 
 def split_scored(t):
     s = F.col("scored_us")
-    kind = F.when(s <= splits.midnight_us("1994-01-01"), "train").when(s <= splits.midnight_us("1997-01-01"), "validation")
+    kind = F.when(s <= splits.midnight_us("1997-01-01"), "train").when(s <= splits.midnight_us("1999-01-01"), "validation")
     return t.scored.withColumn("split", kind.otherwise("test"))
 
 

@@ -115,6 +115,7 @@ def elapsed_since_last(
     min_mag: float = MIN_MAG_WINDOW,
     km: float = RADIUS_KM,
     passes: Sequence[int] = (90, 1080),
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """(event_id, elapsed_since_last_s): seconds since the latest earlier event in reach.
 
@@ -122,6 +123,8 @@ def elapsed_since_last(
     pass, whose bucket is `passes[0]` days; the rest look further back. A target that is not
     answered has nothing in reach in that last stretch, so for the wider passes the latest
     instant per place and bucket is all that can matter, and the catalogue shrinks to it.
+    `known` may bring the answers of the first pass (at_lat, at_lon, at_us, m4_last_us), as the
+    window statistics have them.
     """
     strong = catalog.where(F.col("magnitude") >= min_mag)
     instants = _distinct_spots(strong, F.col("event_us"), NEAR)
@@ -140,7 +143,11 @@ def elapsed_since_last(
         bucket = floor_div(F.col(NEAR[2]), first * DAY_US)
         thinned = instants.groupBy(*NEAR[:2], bucket.alias("thin_bucket")).agg(F.max(NEAR[2]).alias(NEAR[2]))
         thinned = thinned.drop("thin_bucket")
-        answered = latest(spots, instants, first)
+        if known is None:
+            answered = latest(spots, instants, first)
+        else:
+            names = zip(("at_lat", "at_lon", "at_us", "m4_last_us"), (*SPOT, "last_us"))
+            answered = known.select(*[F.col(a).alias(b) for a, b in names])
         for days in [*passes[1:], None]:
             # each pass reads the answers twice (what is open, what is known): write them once
             answered = settle(answered, "elapsed")
