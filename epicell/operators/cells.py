@@ -20,28 +20,30 @@ PAD_DEG = 1e-6
 PAD_KM = 1e-6
 
 
-def n_bands(deg: float) -> int:
-    return math.ceil(180.0 / deg)
+def _number(value: float | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(float(value))
 
 
-def band_of(lat: Column, deg: float) -> Column:
-    raw = F.floor((lat + 90.0) / deg)
-    return F.greatest(F.lit(0), F.least(F.lit(n_bands(deg) - 1), raw)).cast("bigint")
+def band_of(lat: Column, deg: float | Column) -> Column:
+    last = F.ceil(F.lit(180.0) / _number(deg)) - 1
+    return F.greatest(F.lit(0), F.least(last, F.floor((lat + 90.0) / deg))).cast("bigint")
 
 
-def cells_in_band(band: Column, deg: float) -> Column:
+def cells_in_band(band: Column, deg: float | Column) -> Column:
     edge = F.greatest(F.abs(band * deg - 90.0), F.abs((band + 1) * deg - 90.0))
-    return F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * (360.0 / deg))).cast("bigint")
+    return F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * 360.0 / deg)).cast("bigint")
 
 
-def home_cell(lat: Column, lon: Column, deg: float) -> Column:
+def home_cell(lat: Column, lon: Column, deg: float | Column) -> Column:
     """The one cell a point lies in."""
     band = band_of(lat, deg)
     n = cells_in_band(band, deg)
     return band * BAND_STRIDE + F.pmod(F.floor((lon + 180.0) * n / 360.0), n)
 
 
-def explode_cover(df: DataFrame, lat: str, lon: str, km: float | Column, deg: float, out: str = "cell") -> DataFrame:
+def explode_cover(
+    df: DataFrame, lat: str, lon: str, km: float | Column, deg: float | Column, out: str = "cell"
+) -> DataFrame:
     """Repeat each row for every cell that a disc of `km` around its point can meet.
 
     Two plain explodes (bands, then cells of a band) keep the arithmetic in generated code.
@@ -81,11 +83,18 @@ def explode_cover_marked(df: DataFrame, lat: str, lon: str, km: float, deg: floa
 
 
 def _covered(
-    df: DataFrame, lat: str, lon: str, km: float | Column, deg: float, out: str, per_band: dict[str, Column] | None = None
+    df: DataFrame,
+    lat: str,
+    lon: str,
+    km: float | Column,
+    deg: float | Column,
+    out: str,
+    per_band: dict[str, Column] | None = None,
 ) -> DataFrame:
     at_lat, at_lon = F.col(lat), F.col(lon)
-    reach = (km if isinstance(km, Column) else F.lit(km)) / EARTH_KM
+    reach = _number(km) / EARTH_KM
     reach_deg = F.degrees(reach) + PAD_DEG
+    # also catches a disc wider than a hemisphere, where the sine would shrink again
     touches_pole = F.abs(at_lat) + reach_deg >= 90.0
     ratio = F.least(F.lit(1.0), F.try_divide(F.sin(reach), F.cos(F.radians(at_lat))))
     lon_reach = F.when(touches_pole, F.lit(180.0)).otherwise(F.degrees(F.asin(ratio)) + PAD_DEG)
@@ -106,7 +115,7 @@ def _covered(
     return banded.withColumn("cover_index", F.explode(F.sequence(first, last_once))).withColumn(out, cell)
 
 
-def cell_center(cell: Column, deg: float) -> tuple[Column, Column]:
+def cell_center(cell: Column, deg: float | Column) -> tuple[Column, Column]:
     band = F.floor(cell / BAND_STRIDE)
     index = F.pmod(cell, F.lit(BAND_STRIDE))
     n = cells_in_band(band, deg)
@@ -114,7 +123,7 @@ def cell_center(cell: Column, deg: float) -> tuple[Column, Column]:
     return lat, (index + 0.5) * 360.0 / n - 180.0
 
 
-def cell_reach_km(cell: Column, deg: float) -> Column:
+def cell_reach_km(cell: Column, deg: float | Column) -> Column:
     """Distance from the cell centre that no point of the cell exceeds.
 
     Along the meridian by at most half the height, then along a parallel by at most half
@@ -124,4 +133,4 @@ def cell_reach_km(cell: Column, deg: float) -> Column:
     south, north = band * deg - 90.0, (band + 1) * deg - 90.0
     widest = F.when((south < 0) & (north > 0), F.lit(0.0)).otherwise(F.least(F.abs(south), F.abs(north)))
     across = haversine_km(widest, F.lit(0.0), widest, F.lit(180.0) / cells_in_band(band, deg))
-    return across + F.radians(F.lit(deg / 2)) * EARTH_KM + F.lit(PAD_KM)
+    return across + F.radians(_number(deg) / 2) * EARTH_KM + F.lit(PAD_KM)

@@ -29,28 +29,27 @@ from epicell.functions.geo import (
 from epicell.operators.cells import cell_center, cell_reach_km, explode_cover, home_cell
 from epicell.session import settle
 
-ALL, OWN = 0, 1
 MAX_CELLS_PER_OBJECT = 64
 
 
 class SphereGrid:
     """Points on the sphere; distances in kilometres. Points are (a, b) = (lat, lon)."""
 
-    query_size = 0.5
-    sizes = (0.5, 2.0, 8.0, 30.0)
-    reaches = (60.0, 250.0, 1000.0, 4000.0)
+    query_size = 0.25
+    # grids from fine to coarse as (cell size, how far to look); the last look covers everything
+    levels = ((0.5, 60.0), (2.0, 250.0), (8.0, 1000.0), (30.0, 4000.0))
     far = 20_100.0
 
-    def cell(self, a: Column, b: Column, size: float) -> Column:
+    def cell(self, a: Column, b: Column, size: float | Column) -> Column:
         return home_cell(a, b, size)
 
-    def center(self, cell: Column, size: float) -> tuple[Column, Column]:
+    def center(self, cell: Column, size: float | Column) -> tuple[Column, Column]:
         return cell_center(cell, size)
 
-    def reach(self, cell: Column, size: float) -> Column:
+    def reach(self, cell: Column, size: float | Column) -> Column:
         return cell_reach_km(cell, size)
 
-    def cover(self, df: DataFrame, radius: float | Column, size: float) -> DataFrame:
+    def cover(self, df: DataFrame, radius: Column, size: Column) -> DataFrame:
         return explode_cover(df, "qa", "qb", radius, size)
 
     def gap(self, a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
@@ -60,81 +59,82 @@ class SphereGrid:
 class PlaneGrid:
     """The web-mercator plane; distances in metres. Points are (a, b) = (x, y); no wrapping."""
 
-    query_size = 50_000.0
-    sizes = (50_000.0, 250_000.0, 1_250_000.0, 6_250_000.0)
-    reaches = (60_000.0, 300_000.0, 1_500_000.0, 7_500_000.0)
+    query_size = 25_000.0
+    levels = ((50_000.0, 60_000.0), (250_000.0, 300_000.0), (1_250_000.0, 1_500_000.0), (6_250_000.0, 7_500_000.0))
     far = 4.0e8
     stride = 1_000_000
     offset = 500_000
 
-    def step(self, value: Column, size: float) -> Column:
-        return F.floor(value / size)
-
     def key(self, i: Column, j: Column) -> Column:
         return (i + self.offset) * self.stride + (j + self.offset)
 
-    def cell(self, a: Column, b: Column, size: float) -> Column:
-        return self.key(self.step(a, size), self.step(b, size))
+    def cell(self, a: Column, b: Column, size: float | Column) -> Column:
+        return self.key(F.floor(a / size), F.floor(b / size))
 
-    def center(self, cell: Column, size: float) -> tuple[Column, Column]:
+    def center(self, cell: Column, size: float | Column) -> tuple[Column, Column]:
         i = F.floor(cell / self.stride) - self.offset
         j = F.pmod(cell, F.lit(self.stride)) - self.offset
         return (i + 0.5) * size, (j + 0.5) * size
 
-    def reach(self, cell: Column, size: float) -> Column:
-        return F.lit(size * math.sqrt(0.5) + 1e-3)
+    def reach(self, cell: Column, size: float | Column) -> Column:
+        return (size if isinstance(size, Column) else F.lit(size)) * math.sqrt(0.5) + 1e-3
 
-    def box(self, df: DataFrame, low: tuple[Column, Column], high: tuple[Column, Column], size: float) -> DataFrame:
-        boxed = df.withColumn("box_i", F.explode(F.sequence(self.step(low[0], size), self.step(high[0], size))))
-        boxed = boxed.withColumn("box_j", F.explode(F.sequence(self.step(low[1], size), self.step(high[1], size))))
+    def box(self, df: DataFrame, low: tuple[Column, Column], high: tuple[Column, Column], size: Column) -> DataFrame:
+        boxed = df.withColumn("box_i", F.explode(F.sequence(F.floor(low[0] / size), F.floor(high[0] / size))))
+        boxed = boxed.withColumn("box_j", F.explode(F.sequence(F.floor(low[1] / size), F.floor(high[1] / size))))
         return boxed.withColumn("cell", self.key(F.col("box_i"), F.col("box_j"))).drop("box_i", "box_j")
 
-    def cover(self, df: DataFrame, radius: float | Column, size: float) -> DataFrame:
-        r = (radius if isinstance(radius, Column) else F.lit(radius)) + 1.0
-        a, b = F.col("qa"), F.col("qb")
+    def cover(self, df: DataFrame, radius: Column, size: Column) -> DataFrame:
+        a, b, r = F.col("qa"), F.col("qb"), radius + 1.0
         return self.box(df, (a - r, b - r), (a + r, b + r), size)
 
     def gap(self, a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
         return F.hypot(a1 - a2, b1 - b2)
 
 
-def _stack(frames: Sequence[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+def _per_level(grid, df: DataFrame) -> DataFrame:
+    """Each row once per grid, with level, size and look."""
+    grids = [
+        F.struct(F.lit(k).alias("level"), F.lit(size).alias("size"), F.lit(look).alias("look"))
+        for k, (size, look) in enumerate(grid.levels)
+    ]
+    return df.withColumn("grid", F.explode(F.array(*grids))).select("*", "grid.*").drop("grid")
+
+
+def _everywhere(grid, df: DataFrame) -> DataFrame:
+    """Each row in the one cell of the level that covers everything."""
+    return df.withColumns({"level": F.lit(len(grid.levels)), "cell": F.lit(0).cast("bigint")})
 
 
-def _slots(grid, objects: DataFrame, box: tuple[str, str, str, str] | None) -> DataFrame:
-    """Objects under their grid keys. A long object joins the grids on which its box is small;
-    searches on a finer grid find it through the grid it first appears on."""
-    far_level = len(grid.sizes)
+def _placed(grid, objects: DataFrame, box: tuple[str, str, str, str] | None) -> DataFrame:
+    """Objects under their (level, cell, own) keys.
+
+    A point lies in one cell of each level. A long object joins the levels on which its box
+    is small; `own` marks the first of them, through which finer searches find it.
+    """
     if box is None:
-        levels = [
-            objects.withColumn("cell", grid.cell(F.col("oa"), F.col("ob"), size)).withColumn("level", F.lit(k))
-            for k, size in enumerate(grid.sizes)
-        ]
-        levels.append(objects.withColumn("cell", F.lit(0).cast("bigint")).withColumn("level", F.lit(far_level)))
-        return _stack(levels).withColumn("kind", F.lit(ALL))
+        at = grid.cell(F.col("oa"), F.col("ob"), F.col("size"))
+        near = _per_level(grid, objects).withColumn("cell", at).drop("size", "look")
+        return near.unionByName(_everywhere(grid, objects)).withColumn("own", F.lit(False))
 
     a1, b1, a2, b2 = (F.col(c) for c in box)
     low = (F.least(a1, a2), F.least(b1, b2))
     high = (F.greatest(a1, a2), F.greatest(b1, b2))
-    own = F.lit(far_level)
-    for k in reversed(range(far_level)):
-        size = grid.sizes[k]
-        n = (grid.step(high[0], size) - grid.step(low[0], size) + 1) * (
-            grid.step(high[1], size) - grid.step(low[1], size) + 1
-        )
-        own = F.when(n <= MAX_CELLS_PER_OBJECT, k).otherwise(own)
-    placed = objects.withColumn("own_level", own)
-    levels = []
-    for k, size in enumerate(grid.sizes):
-        here = placed.where(F.col("own_level") <= k)
-        levels.append(grid.box(here, low, high, size).withColumn("level", F.lit(k)))
-    levels.append(placed.withColumn("cell", F.lit(0).cast("bigint")).withColumn("level", F.lit(far_level)))
-    kinds = F.when(F.col("own_level") == F.col("level"), F.array(F.lit(ALL), F.lit(OWN))).otherwise(F.array(F.lit(ALL)))
-    return _stack(levels).withColumn("kind", F.explode(kinds)).drop("own_level")
+
+    def cells(size: float) -> Column:
+        across = [F.floor(h / size) - F.floor(w / size) + 1 for w, h in zip(low, high)]
+        return across[0] * across[1]
+
+    own = F.lit(len(grid.levels))
+    for k, (size, _) in reversed(list(enumerate(grid.levels))):
+        own = F.when(cells(size) <= MAX_CELLS_PER_OBJECT, k).otherwise(own)
+    known = objects.withColumn("own_level", own)
+    near = _per_level(grid, known).where(F.col("own_level") <= F.col("level"))
+    near = grid.box(near, low, high, F.col("size")).drop("size", "look")
+    both = near.unionByName(_everywhere(grid, known))
+    first_here = F.col("own_level") == F.col("level")
+    kinds = F.when(first_here, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return both.withColumn("own", F.explode(kinds)).drop("own_level")
 
 
 def candidates(
@@ -145,61 +145,43 @@ def candidates(
     `queries` has `qcell`; `objects` has an anchor point (oa, ob) and, when extended, the four
     corner columns of `box`. `distance` is the exact distance of (qa, qb) to an object.
     """
-    far_level = len(grid.sizes)
+    far_level = len(grid.levels)
     qa, qb = grid.center(F.col("qcell"), grid.query_size)
     cells = queries.select("qcell").distinct().select(
         "qcell", qa.alias("qa"), qb.alias("qb"), grid.reach(F.col("qcell"), grid.query_size).alias("q_reach")
     )
-    # bounded by the number of cells on the globe; read by every branch below
-    cells = settle(cells, "query-cells")
-
-    occupied = _stack(
-        [
-            objects.select(grid.cell(F.col("oa"), F.col("ob"), size).alias("cell")).distinct().withColumn("level", F.lit(k))
-            for k, size in enumerate(grid.sizes)
-        ]
-    )
-    around = _stack(
-        [
-            grid.cover(cells, reach, size).withColumn("level", F.lit(k))
-            for k, (size, reach) in enumerate(zip(grid.sizes, grid.reaches))
-        ]
-    )
-
-    def by_level(make) -> Column:
-        out = make(grid.sizes[-1])
-        for k in reversed(range(far_level - 1)):
-            out = F.when(F.col("level") == k, make(grid.sizes[k])).otherwise(out)
-        return out
-
-    seen = around.join(occupied, ["level", "cell"]).select("*", by_level(lambda s: grid.center(F.col("cell"), s)[0]).alias("ca"))
-    seen = seen.withColumn("cb", by_level(lambda s: grid.center(F.col("cell"), s)[1]))
-    bound = grid.gap(F.col("qa"), F.col("qb"), F.col("ca"), F.col("cb")) + by_level(lambda s: grid.reach(F.col("cell"), s))
-    best = seen.groupBy("qcell").agg(F.min(F.struct(F.col("level"), bound.alias("bound"))).alias("best"))
-    aimed = cells.join(best, "qcell", "left").select(
-        "qcell",
-        "qa",
-        "qb",
-        F.coalesce(F.col("best.level"), F.lit(far_level)).alias("aim"),
-        (F.coalesce(F.col("best.bound"), F.lit(grid.far)) + F.col("q_reach") * 2).alias("radius"),
-    )
-    aimed = settle(aimed, "query-aims")
-
-    looks = [
-        grid.cover(aimed.where(F.col("aim") <= k), F.col("radius"), size)
-        .withColumn("level", F.lit(k))
-        .withColumn("kind", F.when(F.col("aim") == k, ALL).otherwise(OWN))
-        for k, size in enumerate(grid.sizes)
-    ]
-    looks.append(
-        aimed.withColumn("cell", F.lit(0).cast("bigint"))
-        .withColumn("level", F.lit(far_level))
-        .withColumn("kind", F.when(F.col("aim") == far_level, ALL).otherwise(OWN))
+    # step 1: an upper bound of the distance from the centre, on the finest level with a cell in reach
+    at = grid.cell(F.col("oa"), F.col("ob"), F.col("size"))
+    occupied = _per_level(grid, objects.select("oa", "ob")).select("level", at.alias("cell")).distinct()
+    around = grid.cover(_per_level(grid, cells), F.col("look"), F.col("size"))
+    seen = around.join(occupied, ["level", "cell"])
+    ca, cb = grid.center(F.col("cell"), F.col("size"))
+    bound = grid.gap(F.col("qa"), F.col("qb"), ca, cb) + grid.reach(F.col("cell"), F.col("size"))
+    query = ["qcell", "qa", "qb", "q_reach"]
+    bounds = seen.select(*query, "level", bound.alias("bound")).unionByName(
+        _everywhere(grid, cells).select(*query, "level", F.lit(grid.far).alias("bound"))
     )
+    best = bounds.groupBy(*query).agg(F.min(F.struct("level", "bound")).alias("best"))
+    radius = F.col("best.bound") + F.col("q_reach") * 2
+    aimed = best.select("qcell", "qa", "qb", "q_reach", F.col("best.level").alias("aim"), radius.alias("radius"))
+    # step 2: everything within that bound, from the level aimed at; objects too long for it
+    # from the level on which they first appear
+    looks = grid.cover(_per_level(grid, aimed).where(F.col("aim") <= F.col("level")), F.col("radius"), F.col("size"))
+    looks = looks.drop("size", "look").unionByName(_everywhere(grid, aimed))
+    looks = looks.withColumn("own", F.col("aim") < F.col("level"))
     if box is None:
-        looks = [look.where(F.col("kind") == ALL) for look in looks]
-    found = _stack(looks).join(_slots(grid, objects, box), ["level", "cell", "kind"])
-    return found.where(distance <= F.col("radius")).drop("level", "cell", "kind", "aim", "radius", "qa", "qb")
+        looks = looks.where(~F.col("own"))
+    found = looks.join(_placed(grid, objects, box), ["level", "cell", "own"])
+    found = found.where(distance <= F.col("radius"))
+    found = found.select("qcell", "q_reach", distance.alias("from_center"), *objects.columns)
+    # a box meets several cells of a look
+    found = found if box is None else found.distinct()
+    # written once: read twice below, and its true size decides how the events are joined with it
+    found = settle(found, "candidates")
+    # step 3: the bound was for cells, the nearest object itself is closer
+    closest = found.groupBy("qcell").agg(F.min("from_center").alias("closest"))
+    kept = found.join(closest, "qcell").where(F.col("from_center") <= F.col("closest") + F.col("q_reach") * 2)
+    return kept.select("qcell", *objects.columns)
 
 
 def _closest(events: DataFrame, found: DataFrame, gap: Column, payload: Sequence[str], carry: Sequence[str]) -> DataFrame:

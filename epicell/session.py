@@ -21,10 +21,16 @@ RUNTIME_SETTINGS = {
 }
 
 
+# call-site capture costs a JVM round trip per column expression; long plans feel it
+DEBUGGING = "spark.python.sql.dataFrameDebugging.enabled"
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    if spark.conf.isModifiable(DEBUGGING):
+        spark.conf.set(DEBUGGING, "false")
     return spark
 
 
@@ -37,6 +43,7 @@ def local_session(app: str = "epicell", cores: str = "*", shuffle_partitions: in
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(DEBUGGING, "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
