@@ -6,6 +6,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from epicell.operators.shape import spread_small
+
 CATALOG = """
 WITH e AS (SELECT event_id, {ts_us} AS us, user_id, event_type, value,
    CASE WHEN user_id < 60 THEN 0 ELSE user_id % 15 END AS cl FROM events)
@@ -105,7 +107,7 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_small(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def view(self, name: str) -> DataFrame:
         text, table = VIEWS[name]

@@ -24,6 +24,7 @@ CELL_DEG = 2.0
 BLOCK_ROWS = 100_000
 # below this estimated input size the block counts are not worth a pass over the data
 MEASURE_ABOVE_BYTES = 64 * 1024 * 1024
+SMALL_JOIN = "shuffle_hash"
 
 
 @dataclass(frozen=True)
@@ -80,10 +81,13 @@ def near_pairs(
         r_keyed = r_keyed.withColumn("bucket", span.right_bucket())
         keys.append("bucket")
 
-    if split_blocks is None:
-        split_blocks = max(plan_bytes(left), plan_bytes(right)) > MEASURE_ABOVE_BYTES
-    if split_blocks:
+    small = max(plan_bytes(left), plan_bytes(right)) <= MEASURE_ABOVE_BYTES
+    if split_blocks or (split_blocks is None and not small):
         l_keyed, r_keyed, keys = cut_hot_blocks(l_keyed, r_keyed, keys)
+    if small:
+        # size estimates ignore the expansion: a broadcast here would leave all pairs of a
+        # one-file input to one core. Large inputs keep Spark's choice.
+        r_keyed = r_keyed.hint(SMALL_JOIN)
 
     limit = km_to_chord(km) ** 2
     gap = chord_sq(

@@ -35,7 +35,7 @@ from epicell.operators.windows import (
     rolling_m2_family,
 )
 from epicell.plans.columns import LIVE_COLUMNS, REFERENCE_COLUMNS
-from epicell.session import settle
+from epicell.session import settle, together
 
 
 @dataclass
@@ -49,10 +49,19 @@ class Geology:
     stations: DataFrame
 
 
-def fault_features(events: DataFrame, geology: Geology) -> DataFrame:
-    near = nearest_line_km(events, geology.fault_segments, "dist_to_nearest_fault_km")
-    slip = nearest_centroid_attr(events, geology.fault_segments, geology.line_types)
-    return near.join(slip, "event_id")
+def fault_and_stress(events: DataFrame, geology: Geology) -> list[DataFrame]:
+    """Fault distance, slip code and stress state, one frame each; their searches run side by side."""
+    return together(
+        lambda: nearest_line_km(events, geology.fault_segments, "dist_to_nearest_fault_km"),
+        lambda: nearest_centroid_attr(events, geology.fault_segments, geology.line_types),
+        lambda: nearest_station(events, geology.stations),
+    )
+
+
+def join_all(df: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    for part in parts:
+        df = df.join(part, "event_id", "left")
+    return df
 
 
 def compute_features(events: DataFrame, rolling: DataFrame, hist: DataFrame, geology: Geology) -> DataFrame:
@@ -71,12 +80,13 @@ def compute_features(events: DataFrame, rolling: DataFrame, hist: DataFrame, geo
         "event_id", "latitude", "longitude", "event_us", "magnitude", "depth", *[c.alias(n) for n, c in columns.items()]
     )
     place = events.select("event_id", "latitude", "longitude")
-    full = (
-        ratio_features(background_rate_live(base, hist))
-        .join(nearest_vertex_km(place, geology.plate_vertices), "event_id", "left")
-        .join(fault_features(place, geology), "event_id", "left")
-        .join(nearest_station(place, geology.stations), "event_id", "left")
+    parts = together(
+        lambda: nearest_vertex_km(place, geology.plate_vertices),
+        lambda: nearest_line_km(place, geology.fault_segments, "dist_to_nearest_fault_km"),
+        lambda: nearest_centroid_attr(place, geology.fault_segments, geology.line_types),
+        lambda: nearest_station(place, geology.stations),
     )
+    full = join_all(ratio_features(background_rate_live(base, hist)), parts)
     return full.select("event_id", *LIVE_COLUMNS)
 
 
@@ -111,8 +121,7 @@ def batch_features(targets: DataFrame, context: DataFrame, plate_segments: DataF
 def add_external(df: DataFrame, geology: Geology) -> DataFrame:
     """Faults, stress stations and background rate on an assembled batch data set."""
     place = df.select("event_id", F.col("ref_lat").alias("latitude"), F.col("ref_lon").alias("longitude"))
-    out = df.join(fault_features(place, geology), "event_id", "left")
-    out = out.join(nearest_station(place, geology.stations), "event_id", "left")
+    out = join_all(df, fault_and_stress(place, geology))
     at_ref = out.withColumns({"latitude": F.col("ref_lat"), "longitude": F.col("ref_lon")})
     return background_rate(at_ref)
 

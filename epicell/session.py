@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +70,9 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(*builders: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Build frames whose construction runs small jobs of its own at the same time."""
+    with ThreadPoolExecutor(len(builders)) as pool:
+        return [job.result() for job in [pool.submit(b) for b in builders]]

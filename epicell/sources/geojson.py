@@ -90,7 +90,7 @@ def parse_geojson_vertices(
     )
 
 
-def write_event_docs(events: DataFrame, path: str, chunk: Column) -> None:
+def write_event_docs(events: DataFrame, path: str, chunk: Column, mode: str = "errorifexists") -> None:
     """Feature collections for tests and exports, one per line; `chunk` groups a bounded number of events."""
     at = F.array("longitude", "latitude", "depth")
     feature = F.struct(
@@ -100,4 +100,4 @@ def write_event_docs(events: DataFrame, path: str, chunk: Column) -> None:
         F.struct(F.lit("Point").alias("type"), at.alias("coordinates")).alias("geometry"),
     )
     docs = events.groupBy(chunk.alias("chunk")).agg(F.collect_list(feature).alias("features"))
-    docs.select(F.lit("FeatureCollection").alias("type"), "features").write.json(path)
+    docs.select(F.lit("FeatureCollection").alias("type"), "features").write.mode(mode).json(path)
