@@ -48,13 +48,31 @@ def _day(df_col: str = "event_us") -> Column:
     return floor_div(F.col(df_col), DAY_US)
 
 
-def _first_gap(events: DataFrame, catalog: DataFrame, first_day: int, last_day: int, km: float) -> DataFrame:
-    """Smallest forward distance in days within [first_day, last_day] per distinct spot."""
+NEAR_DAYS = 30
+
+
+def _first_gap(events: DataFrame, catalog: DataFrame, last_day: int, km: float) -> DataFrame:
+    """Smallest forward distance in days within [1, last_day] per distinct spot.
+
+    The first pass looks NEAR_DAYS ahead and answers every busy place. A spot it leaves open
+    has no follow-up in reach for NEAR_DAYS, so of each later stretch of that length only the
+    first day per place can matter, and the second pass runs on that much smaller catalogue.
+    """
     spots = _distinct_spots(events, _day(), SPOT)
     later = _distinct_spots(catalog.where(_is_followup_size(F.col("magnitude"))), _day(), NEAR)
-    span = TimeSpan(SPOT[2], NEAR[2], first_day, last_day)
-    pairs = near_pairs(spots, later, SPOT[:2], NEAR[:2], km, span)
-    return pairs.groupBy(*SPOT).agg(F.min(F.col(NEAR[2]) - F.col(SPOT[2])).alias("min_days"))
+
+    def gaps(open_spots: DataFrame, days: DataFrame, first: int, last: int) -> DataFrame:
+        span = TimeSpan(SPOT[2], NEAR[2], first, last)
+        pairs = near_pairs(open_spots, days, SPOT[:2], NEAR[:2], km, span)
+        return pairs.groupBy(*SPOT).agg(F.min(F.col(NEAR[2]) - F.col(SPOT[2])).alias("min_days"))
+
+    if last_day <= NEAR_DAYS:
+        return gaps(spots, later, 1, last_day)
+    soon = settle(gaps(spots, later, 1, NEAR_DAYS), "followups")
+    stretch = floor_div(F.col(NEAR[2]), NEAR_DAYS)
+    thinned = later.groupBy(*NEAR[:2], stretch.alias("stretch")).agg(F.min(NEAR[2]).alias(NEAR[2])).drop("stretch")
+    open_spots = spots.join(soon, list(SPOT), "left_anti")
+    return soon.unionByName(gaps(open_spots, thinned, NEAR_DAYS + 1, last_day))
 
 
 def forward_label_join(
@@ -65,7 +83,7 @@ def forward_label_join(
     A follow-up on the same day has distance 0 and does not count, which also rules out the
     event itself and its copies.
     """
-    gaps = _first_gap(targets, catalog, 1, max_days, km)
+    gaps = _first_gap(targets, catalog, max_days, km)
     return _back_to_events(targets, _day(), gaps).where(F.col("min_days").isNotNull()).select("event_id", "min_days")
 
 
@@ -77,10 +95,10 @@ def forward_labels(
 ) -> DataFrame:
     """Every event with its labels: 1 when a follow-up lies within the horizon.
 
-    One pass gives the smallest distance, from which all horizons are read.
+    The smallest distance is found once, and all horizons are read from it.
     """
     catalog = events if catalog is None else catalog
-    gaps = _first_gap(events, catalog, 1, max(horizons), km)
+    gaps = _first_gap(events, catalog, max(horizons), km)
     labelled = _back_to_events(events, _day(), gaps)
     return labelled.select(
         "event_id",

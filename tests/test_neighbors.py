@@ -159,3 +159,12 @@ def test_window_statistics_policies(spark):
     assert row.mag_std_1d == pytest.approx(mags.std()) and row.b_value_1d == pytest.approx(math.log10(math.e) / (mags.mean() - 4.0))
     assert row.depth_mean_1d == pytest.approx(20.0) and row.depth_std_1d == pytest.approx(np.std([10, 30, 20]))
     assert row.moment_1d == pytest.approx((10 ** (1.5 * mags + 9.1)).sum())
+
+
+def test_labels_equal_brute_force(world):
+    pdf, df, dist = world
+    day, big = pdf.event_us.to_numpy() // DAY_US, pdf.magnitude.to_numpy() >= 5
+    got = {r.event_id: (r.label_7d, r.label_30d, r.label_365d) for r in forward_labels(df).collect()}
+    for i in range(len(pdf)):
+        gap = (day - day[i])[(dist[i] <= 200) & big]
+        assert got[i] == tuple(int(((gap > 0) & (gap <= h)).any()) for h in (7, 30, 365))
