@@ -44,14 +44,21 @@ SEG_DIST = """sqrt(pow(px - (ax + t * (bx - ax)), 2) + pow(py - (ay + t * (bby -
 # ---------------------------------------------------------------------------
 
 
+# all pairs of the whole table; shown per left row, because the pairs themselves are many millions
 @check(
     "radius_join",
     with_views("catalog")
-    + f"""SELECT a.event_id AS left_id, b.event_id AS right_id, {r(AB)} AS distance_km
-    FROM catalog a JOIN catalog b ON {NEAR} WHERE a.magnitude >= 6""",
+    + f""", p AS (SELECT a.event_id AS left_id, b.event_id AS right_id, {AB} AS km FROM catalog a JOIN catalog b ON {NEAR})
+    SELECT left_id, count(*) AS n_pairs, CAST(sum(right_id) AS BIGINT) AS sum_right, {r('round(avg(km), 4)')} AS mean_km, {r('max(km)')} AS max_km FROM p GROUP BY left_id""",
 )
 def _(t):
-    return radius_join(t.catalog.where("magnitude >= 6"), t.catalog)
+    pairs = radius_join(t.catalog, t.catalog)
+    return pairs.groupBy("left_id").agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.sum("right_id").alias("sum_right"),
+        F.round(F.avg("distance_km"), 4).alias("mean_km"),
+        F.max("distance_km").alias("max_km"),
+    )
 
 
 @check(

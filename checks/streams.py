@@ -72,7 +72,6 @@ def _(t):
 
 
 TOP = "(SELECT max(event_us) FROM catalog)"
-RECENT = f"event_us > {TOP} - 40 * {DAY}"
 
 
 def simple_scorer(features):
@@ -81,15 +80,15 @@ def simple_scorer(features):
     return features.withColumns({"raw_7d": raw, "raw_30d": raw / 2, "raw_365d": F.lit(None).cast("double")})
 
 
-def recent_events(t):
-    top = t.catalog.agg(F.max("event_us").alias("m")).scalar()
-    return t.catalog.withColumn("top", top).where(F.col("event_us") > F.col("top") - 40 * DAY).drop("top")
+def keyed_events(t):
+    """The catalogue with the key as text, as feeds have it."""
+    return t.catalog.withColumn("event_id", F.col("event_id").cast("string"))
 
 
-def recent_stream(t, parts: int = 2):
-    """Recent events as a stream of a few files, the key as text as feeds have it."""
-    path = shared_dir(t.spark, "recent")
-    rows = recent_events(t).withColumn("event_id", F.col("event_id").cast("string"))
+def event_stream(t, parts: int = 2):
+    """All events as a stream of a few files, one file per trigger."""
+    path = shared_dir(t.spark, "events")
+    rows = keyed_events(t)
     for k in range(parts):
         rows.where(F.abs(F.hash("event_id")) % parts == k).coalesce(1).write.mode("append").parquet(path)
     return t.spark.readStream.schema(t.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -98,7 +97,7 @@ def recent_stream(t, parts: int = 2):
 @check(
     "stream_score",
     WC
-    + f""", e AS (SELECT *, {scale_sql('(magnitude / 10)', 0.6663)} AS p7, {scale_sql('(magnitude / 20)', 1.0357)} AS p30 FROM catalog WHERE magnitude >= 4 AND {RECENT})
+    + f""", e AS (SELECT *, {scale_sql('(magnitude / 10)', 0.6663)} AS p7, {scale_sql('(magnitude / 20)', 1.0357)} AS p30 FROM catalog WHERE magnitude >= 4)
       SELECT CAST(event_id AS VARCHAR) AS event_id, event_us, {r('coalesce(depth, 33)')} AS depth, {r('round(p7, 4)')} AS prob_7d, {r('round(p30, 4)')} AS prob_30d, {r('NULL')} AS prob_365d,
       {band_sql('p7', CODES, "'unknown'")} AS risk_7d_code, 67 AS features_used, 'm-test' AS model_version, 1 AS log_rows FROM e""",
 )
@@ -109,10 +108,9 @@ def _(t):
         t.spark, lambda: t.catalog, t.catalog, geology(t), simple_scorer, table, log_path, lambda: 1_750_000_000_000_000,
         {"model_version": "m-test"},
     )
-    stream = recent_stream(t)
-    job.start(stream, shared_dir(t.spark, "score-state")).awaitTermination()
+    job.start(event_stream(t), shared_dir(t.spark, "score-state")).awaitTermination()
     # a second run over the same events finds all of them logged
-    job(recent_events(t).withColumn("event_id", F.col("event_id").cast("string")), 99)
+    job(keyed_events(t), 99)
     logged = read_log(t.spark, log_path).groupBy("event_id").agg(F.count(F.lit(1)).cast("int").alias("log_rows"))
     kept = "event_id event_us depth prob_7d prob_30d prob_365d risk_7d_code features_used model_version".split()
     return table.read().select(*kept).join(logged, "event_id")
@@ -129,7 +127,7 @@ def outcome_sql(h: int) -> str:
 @check(
     "stream_outcomes",
     WC
-    + f""", a AS (SELECT *, event_us // 1000000 * 1000000 AS us FROM catalog WHERE {RECENT})
+    + f""", a AS (SELECT *, event_us // 1000000 * 1000000 AS us FROM catalog)
       SELECT CAST(event_id AS VARCHAR) AS event_id, {outcome_sql(7)} AS label_7d, {outcome_sql(30)} AS label_30d FROM a""",
 )
 def _(t):
@@ -137,23 +135,22 @@ def _(t):
     outcomes = KeyedTable(t.spark, shared_dir(t.spark, "outcomes"), "prediction_id", buckets=4)
     clock = {"now": now - 20 * DAY}
     job = OutcomeJob(t.spark, lambda: t.catalog, outcomes, lambda: clock["now"])
-    log = recent_stream(t).withColumn("prediction_id", F.concat(F.lit("p"), "event_id"))
+    log = event_stream(t).withColumn("prediction_id", F.concat(F.lit("p"), "event_id"))
     job.start(log, shared_dir(t.spark, "outcome-state")).awaitTermination()
     # time passes without new predictions: what is due now is filled, the rest stays open
     clock["now"] = now
-    empty = recent_events(t).where("1 = 0").withColumn("prediction_id", F.lit("p"))
-    job(empty.withColumn("event_id", F.col("event_id").cast("string")), 99)
+    job(keyed_events(t).where("1 = 0").withColumn("prediction_id", F.lit("p")), 99)
     return outcomes.read().select("event_id", "label_7d", "label_30d")
 
 
 @check(
     "stream_health",
-    WC + f"SELECT 'scoring_pipeline' AS pipeline_name, true AS stale, false AS failed, false AS scheduler_down, {r('5401')} AS age_s, (SELECT count(*) FROM catalog WHERE {RECENT}) AS published_rows",
+    WC + f"SELECT 'scoring_pipeline' AS pipeline_name, true AS stale, false AS failed, false AS scheduler_down, {r('5401')} AS age_s, (SELECT count(*) FROM catalog) AS published_rows",
 )
 def _(t):
     now = 1_750_000_000_000_000
     job = HealthJob(t.spark, shared_dir(t.spark, "runs"), "scoring_pipeline", lambda: now)
-    job.start(recent_stream(t), shared_dir(t.spark, "health-state")).awaitTermination()
+    job.start(event_stream(t), shared_dir(t.spark, "health-state")).awaitTermination()
     rows = job.runs().agg(F.sum("published_rows").alias("published_rows")).scalar()
     return job.alerts(now + 5401 * 1_000_000).drop("finished_us").withColumn("published_rows", rows)
 
