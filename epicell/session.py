@@ -15,27 +15,42 @@ RUNTIME_SETTINGS = {
     # let the runtime size partitions, pick broadcast joins by measured bytes, split skew
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # the joins multiply few bytes into much work: keep every core busy on small inputs too
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
+# on one machine the joins multiply few bytes into much work: keep every core busy
+LOCAL_SETTINGS = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB"}
+
+BYTES_PER_TASK = 128 * 1024 * 1024
+
 # call-site capture costs a JVM round trip per column expression; long plans feel it
 DEBUGGING = "spark.python.sql.dataFrameDebugging.enabled"
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
-    for key, value in RUNTIME_SETTINGS.items():
+    local = spark.sparkContext.master.startswith("local")
+    for key, value in (RUNTIME_SETTINGS | (LOCAL_SETTINGS if local else {})).items():
         spark.conf.set(key, value)
     if spark.conf.isModifiable(DEBUGGING):
         spark.conf.set(DEBUGGING, "false")
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, expansion: float = 3.0) -> int:
+    """Set the shuffle partitions for an input size, so that a partition fits an executor's share.
+
+    `expansion` is how much a job multiplies its input before the widest shuffle (cells and
+    buckets of a neighbour join). The runtime merges partitions that turn out small.
+    """
+    wanted = max(spark.sparkContext.defaultParallelism, int(input_bytes * expansion / BYTES_PER_TASK) + 1)
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def local_session(app: str = "epicell", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster job brings its own."""
     spark = (

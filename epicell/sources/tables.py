@@ -69,9 +69,13 @@ LOG_COLUMNS = (
 
 
 def append_prediction_log(batch: DataFrame, path: str) -> None:
-    """Append served predictions; the log has no 365-day columns. Each row gets its own id."""
+    """Append served predictions; the log has no 365-day columns. Each row gets its own id.
+
+    Partitioned by model version: asking what a model has logged reads that model's part only.
+    """
     rows = batch.withColumn("prediction_id", F.expr("uuid()")) if "prediction_id" not in batch.columns else batch
-    rows.select(*[c for c in LOG_COLUMNS if c in rows.columns]).write.mode("append").parquet(path)
+    kept = rows.select(*[c for c in LOG_COLUMNS if c in rows.columns])
+    kept.write.mode("append").partitionBy("model_version").parquet(path)
 
 
 def _fs(spark: SparkSession, path: str):

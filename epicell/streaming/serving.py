@@ -13,6 +13,7 @@ from epicell.constants import DEFAULT_DEPTH_KM, MIN_MAG_WINDOW
 from epicell.operators.audits import freshness_alerts
 from epicell.operators.cleaning import validate_event_input
 from epicell.operators.serving import open_outcomes, pending_outcomes, resolve_outcomes, unscored_events
+from epicell.operators.shape import pick_last
 from epicell.plans.features import Geology, compute_features
 from epicell.plans.scoring import score_batch
 from epicell.session import settle
@@ -49,7 +50,8 @@ class ScoringJob:
     meta: dict[str, str] | None = None
 
     def new_events(self, batch: DataFrame) -> DataFrame:
-        once = batch.where(F.col("magnitude") >= MIN_MAG_WINDOW).dropDuplicates(["event_id"])
+        strong = batch.where(F.col("magnitude") >= MIN_MAG_WINDOW)
+        once = pick_last(strong, ["event_id"], [F.col("event_us"), F.col("magnitude")])
         filled = once.withColumn("depth", F.coalesce("depth", F.lit(DEFAULT_DEPTH_KM)))
         valid = validate_event_input(filled).where("valid").drop("valid", "reason")
         log = read_log(self.spark, self.log_path)

@@ -8,7 +8,7 @@ from epicell.fixtures import Tables
 from epicell.operators import cleaning, serving
 from epicell.operators.shape import at_most
 from epicell.operators.windows import window_features
-from epicell.session import shared_dir
+from epicell.session import shared_dir, size_shuffles
 from epicell.sources.catalogs import read_catalog_any
 from epicell.sources.geojson import parse_geojson_events
 from epicell.sources.tables import KeyedTable, Snapshots, serving_metadata
@@ -148,3 +148,12 @@ def test_no_cross_joins(spark, folder, name):
 
 
 checks.load()
+
+
+def test_shuffle_partitions_follow_the_input(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 0) == spark.sparkContext.defaultParallelism
+        assert size_shuffles(spark, 10**12) > 20_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
