@@ -105,7 +105,8 @@ def test_radius_count_is_exact(world):
     assert got == dict(enumerate(want))
 
 
-def test_labels_on_day_granularity(spark):
+@pytest.mark.parametrize("near_first", [False, True])
+def test_labels_on_day_granularity(spark, near_first):
     d = DAY_US
     rows = [
         (0, 100 * d + 5, 10.0, 20.0, 1.0, 4.0),
@@ -115,7 +116,7 @@ def test_labels_on_day_granularity(spark):
         (4, 833 * d, 50.0, 20.0, 1.0, 9.0),  # far away
         (5, 838 * d, 10.0, 20.0, 1.0, 5.0),  # exactly 7 days after 3
     ]
-    got = {r.event_id: (r.label_7d, r.label_30d, r.label_365d) for r in forward_labels(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.event_id: (r.label_7d, r.label_30d, r.label_365d) for r in forward_labels(spark.createDataFrame(rows, SCHEMA), near_first=near_first).collect()}
     assert got == {0: (0, 0, 1), 1: (0, 0, 1), 2: (0, 0, 0), 3: (1, 1, 1), 4: (0, 0, 0), 5: (0, 0, 0)}
 
 
@@ -161,10 +162,11 @@ def test_window_statistics_policies(spark):
     assert row.moment_1d == pytest.approx((10 ** (1.5 * mags + 9.1)).sum())
 
 
-def test_labels_equal_brute_force(world):
+@pytest.mark.parametrize("near_first", [False, True])
+def test_labels_equal_brute_force(world, near_first):
     pdf, df, dist = world
     day, big = pdf.event_us.to_numpy() // DAY_US, pdf.magnitude.to_numpy() >= 5
-    got = {r.event_id: (r.label_7d, r.label_30d, r.label_365d) for r in forward_labels(df).collect()}
+    got = {r.event_id: (r.label_7d, r.label_30d, r.label_365d) for r in forward_labels(df, near_first=near_first).collect()}
     for i in range(len(pdf)):
         gap = (day - day[i])[(dist[i] <= 200) & big]
         assert got[i] == tuple(int(((gap > 0) & (gap <= h)).any()) for h in (7, 30, 365))
