@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,9 +82,30 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what `settle` writes inside, on leaving. For jobs that end with their own output,
+    such as a micro-batch; frames built inside must not be used afterwards."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives executors."""
     path = shared_dir(df.sparkSession, purpose)
+    kept = _written.get()
+    if kept is not None:
+        kept.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -90,4 +113,5 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
 def together(*builders: Callable[[], DataFrame]) -> list[DataFrame]:
     """Build frames whose construction runs small jobs of its own at the same time."""
     with ThreadPoolExecutor(len(builders)) as pool:
-        return [job.result() for job in [pool.submit(b) for b in builders]]
+        jobs = [pool.submit(contextvars.copy_context().run, b) for b in builders]
+        return [job.result() for job in jobs]

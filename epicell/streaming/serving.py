@@ -16,7 +16,7 @@ from epicell.operators.serving import open_outcomes, pending_outcomes, resolve_o
 from epicell.operators.shape import pick_last
 from epicell.plans.features import Geology, compute_features
 from epicell.plans.scoring import score_batch
-from epicell.session import settle
+from epicell.session import scratch, settle
 from epicell.sources.tables import KeyedTable, _fs, add_serving_metadata, append_prediction_log, serving_metadata
 
 
@@ -59,6 +59,10 @@ class ScoringJob:
         return valid if log is None else unscored_events(valid, log, version)
 
     def __call__(self, batch: DataFrame, batch_no: int) -> None:
+        with scratch(self.spark):
+            self.score(batch, batch_no)
+
+    def score(self, batch: DataFrame, batch_no: int) -> None:
         events = settle(self.new_events(batch), "new-events")
         if events.isEmpty():
             return
@@ -89,6 +93,10 @@ class OutcomeJob:
     now_us: Callable[[], int]
 
     def __call__(self, new_log: DataFrame, batch_no: int) -> None:
+        with scratch(self.spark):
+            self.resolve(new_log)
+
+    def resolve(self, new_log: DataFrame) -> None:
         now = self.now_us()
         opened = open_outcomes(new_log)
         known = self.outcomes.read()
