@@ -7,22 +7,82 @@ derives the columns that are compared.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from epicell.llm import packing
+from epicell.llm import byte_cnn, lexicon_bpe, packing, quality, toxicity, warc
+from epicell.llm.bpe import Vocabulary
+from epicell.llm.common import remainder, ship_package
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def held_out(parts: int, value: int) -> Column:
+    return F.coalesce(remainder("doc_id", parts) == value, F.lit(False))
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").where(~held_out(3, 1))
+    model = toxicity.train(documents, labels)
+    tagged = toxicity.tag_toxicity(documents, model, keep=["doc_id"])
+    return tagged.select(
+        "doc_id",
+        held_out(3, 1).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
+        "toxic_spans",
+    )
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").where(~held_out(5, 0))
+    model = quality.train(documents, labels)
+    scored = quality.score_quality(documents, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id",
+        held_out(5, 0).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op4_lexicon_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    vocabulary = Vocabulary.load(public_tokenizers.path(BYTE_VOCABULARY))
+    lexicon = lexicon_bpe.build_lexicon(documents, vocabulary)
+    encoded = lexicon_bpe.encode(documents, lexicon, vocabulary, keep=["doc_id"])
+    return lexicon_bpe.decode(encoded, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = byte_cnn.train(documents.where(~held_out(3, 1)))
+    found = byte_cnn.identify(documents, model, keep=["doc_id"])
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     sequences = packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_VOCABULARY))
     return packing.piece_digests(sequences)
 
 
-QUERIES = {f.__name__: f for f in (op8_packing,)}
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.round_trip(spark, table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_lexicon_bpe, op5_language, op8_packing, op10_warc)}
 ORACLES: dict[str, str] = {}
