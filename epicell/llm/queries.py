@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epicell.llm import byte_cnn, lexicon_bpe, packing, quality, toxicity, warc
+from epicell.llm import bit_slices, byte_cnn, lexicon_bpe, packing, quality, rotated_codes, toxicity, warc
 from epicell.llm.bpe import Vocabulary
 from epicell.llm.common import remainder, ship_package
 
@@ -54,6 +54,11 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_rotated_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return rotated_codes.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op4_lexicon_bpe(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     vocabulary = Vocabulary.load(public_tokenizers.path(BYTE_VOCABULARY))
@@ -79,10 +84,53 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.piece_digests(sequences)
 
 
+def op9_bit_slices(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return bit_slices.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.round_trip(spark, table(spark, folder, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_lexicon_bpe, op5_language, op8_packing, op10_warc)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_rotated_codes, op4_lexicon_bpe, op5_language, op8_packing, op9_bit_slices, op10_warc)}
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS digest FROM p
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY digest) AS first_id FROM d
+), b AS (
+  SELECT *, list_transform(range(40), i -> CAST(strpos('0123456789abcdef', digest[i + 1]) - 1 AS INTEGER)) AS nibbles FROM k
+), bits AS (
+  SELECT *, list_transform(range(160), i -> (nibbles[i // 4 + 1] >> CAST(3 - i % 4 AS INTEGER)) & 1) AS bits FROM b
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+    bits[5 * i + 1] * 16 + bits[5 * i + 2] * 8 + bits[5 * i + 3] * 4 + bits[5 * i + 4] * 2 + bits[5 * i + 5] AS INTEGER), 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM bits
+"""
+
+ORACLES: dict[str, str] = {"op9_bit_slices": OP9_SQL, "op10_warc": OP10_SQL}
