@@ -7,15 +7,18 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from epicell.llm.bpe import Vocabulary
 from epicell.llm.common import col, text_slices
 from epicell.session import settle
 
@@ -29,13 +32,15 @@ REMEMBERED_WORDS = 400_000
 
 # characters whose normal form, white space and lower case need no look at their neighbours
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-įı-˿]")
+# fixed value of the format: how text without white space is split before any merge
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose words never cross white space.
+    """Ids of whole texts by a tokenizer of lower-case words that never cross white space.
 
-    Each word is encoded once by the tokenizers library and remembered. A text with a character
-    outside PLAIN, or with the opening of a special token, is given to the library whole.
+    A chunk between white space is split and merged once and then remembered. A text with a character
+    outside PLAIN, or with the opening of a special token, is given to the tokenizers library whole.
     """
 
     def __init__(self, path: str):
@@ -45,39 +50,58 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.vocabulary = Vocabulary.load(path)
+        self.split = regex.compile(SPLIT).findall
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.words: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
-        self.starts = np.zeros(REMEMBERED_WORDS + 1, dtype=np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        for word, encoding in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            n, ids = len(self.known), encoding.ids
-            begin = self.starts[n]
-            end = begin + len(ids)
-            if n + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            while end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[begin:end] = ids
-            self.starts[n + 1] = end
-            self.known[word] = n
+        self.starts = np.zeros(1 << 16, dtype=np.int64)
+
+    def _trim(self) -> None:
+        """Forget the later half: what was met first is met most."""
+        keep = len(self.known) // 2
+        self.known = dict(islice(self.known.items(), keep))
+        self.words = dict(islice(self.words.items(), len(self.words) // 2))
+
+    def _word(self, word: str) -> list[int]:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = self.vocabulary.merge(word.encode())
+        return ids
+
+    def _learn(self, chunk: str) -> int:
+        words = self.split(chunk)
+        ids = self.vocabulary.merge(chunk.encode()) if len(words) == 1 else [i for w in words for i in self._word(w)]
+        n = len(self.known)
+        begin = self.starts[n]
+        end = begin + len(ids)
+        if n + 2 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[begin:end] = ids
+        self.starts[n + 1] = end
+        self.known[chunk] = n
+        return n
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED_WORDS:
-            self._forget()
         out = []
         for text in texts:
             if PLAIN.search(text) or "<|" in text:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
                 continue
-            words = text.lower().split()
-            places = list(map(self.known.get, words))
+            if len(self.known) + len(self.words) > REMEMBERED_WORDS:
+                self._trim()
+            chunks = text.lower().split()
+            places = list(map(self.known.get, chunks))
             if None in places:
-                self._learn(list(dict.fromkeys(w for w, p in zip(words, places) if p is None)))
-                places = list(map(self.known.get, words))
+                for i, place in enumerate(places):
+                    if place is None:
+                        chunk = chunks[i]
+                        places[i] = self.known[chunk] if chunk in self.known else self._learn(chunk)
             out.append(self._gather(np.array(places, dtype=np.int64)))
         return out
 
@@ -87,8 +111,7 @@ class WordEncoder:
         begin = self.starts[places]
         lengths = self.starts[places + 1] - begin
         ends = np.cumsum(lengths)
-        steps = np.arange(ends[-1]) + np.repeat(begin - (ends - lengths), lengths)
-        return self.flat[steps]
+        return self.flat[np.arange(ends[-1]) + np.repeat(begin - (ends - lengths), lengths)]
 
 
 _encoders: dict[str, WordEncoder] = {}
