@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epicell.llm import bit_slices, byte_cnn, lexicon_bpe, packing, quality, rotated_codes, toxicity, warc
+from epicell.llm import bit_slices, byte_cnn, lexicon_bpe, line_templates, packing, quality, rotated_codes, toxicity, warc
 from epicell.llm.bpe import Vocabulary
 from epicell.llm.common import remainder, ship_package
 
@@ -79,6 +79,11 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op6_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_templates.drop_recurring_lines(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "text", "dropped_lines")
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     sequences = packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_VOCABULARY))
     return packing.piece_digests(sequences)
@@ -94,17 +99,17 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_rotated_codes, op4_lexicon_bpe, op5_language, op8_packing, op9_bit_slices, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_rotated_codes, op4_lexicon_bpe, op5_language, op6_line_templates, op8_packing, op9_bit_slices, op10_warc)}
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-    CAST(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) AS BIGINT) AS score
+    CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.w, c.w)]) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
@@ -120,17 +125,17 @@ WITH p AS (
 ), k AS (
   SELECT *, max(page_id) OVER (PARTITION BY digest) AS first_id FROM d
 ), b AS (
-  SELECT *, list_transform(range(40), i -> CAST(strpos('0123456789abcdef', digest[i + 1]) - 1 AS INTEGER)) AS nibbles FROM k
+  SELECT *, [CAST(strpos('0123456789abcdef', digest[i + 1]) - 1 AS INTEGER) FOR i IN range(40)] AS nibbles FROM k
 ), bits AS (
-  SELECT *, list_transform(range(160), i -> (nibbles[i // 4 + 1] >> CAST(3 - i % 4 AS INTEGER)) & 1) AS bits FROM b
+  SELECT *, [(nibbles[i // 4 + 1] >> CAST(3 - i % 4 AS INTEGER)) & 1 FOR i IN range(160)] AS bits FROM b
 )
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-  list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
-    bits[5 * i + 1] * 16 + bits[5 * i + 2] * 8 + bits[5 * i + 3] * 4 + bits[5 * i + 4] * 2 + bits[5 * i + 5] AS INTEGER), 1)),
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+    bits[5 * i + 1] * 16 + bits[5 * i + 2] * 8 + bits[5 * i + 3] * 4 + bits[5 * i + 4] * 2 + bits[5 * i + 5] AS INTEGER), 1) FOR i IN range(32)],
     'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM bits
 """
 
-ORACLES: dict[str, str] = {"op9_bit_slices": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_line_templates": line_templates.oracle_sql(), "op9_bit_slices": OP9_SQL, "op10_warc": OP10_SQL}
