@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epicell.llm import bit_slices, byte_cnn, lexicon_bpe, line_templates, packing, quality, rotated_codes, toxicity, warc
+from epicell.llm import bit_slices, byte_cnn, lexicon_bpe, line_templates, ngram_join, packing, quality, rotated_codes, toxicity, warc
 from epicell.llm.bpe import Vocabulary
 from epicell.llm.common import remainder, ship_package
 
@@ -84,6 +84,10 @@ def op6_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "dropped_lines")
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, folder, "documents"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     sequences = packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_VOCABULARY))
     return packing.piece_digests(sequences)
@@ -99,7 +103,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_rotated_codes, op4_lexicon_bpe, op5_language, op6_line_templates, op8_packing, op9_bit_slices, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_rotated_codes, op4_lexicon_bpe, op5_language, op6_line_templates, op7_ngram_join, op8_packing, op9_bit_slices, op10_warc)}
 
 OP9_SQL = """
 WITH v AS (
