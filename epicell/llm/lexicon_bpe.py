@@ -37,6 +37,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 # white space before a blank is the only thing that lets a word depend on more than its piece
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0  -     　] ")
+# the classes of nearer characters are the same in all Unicode versions
+FAR = re.compile("[^\x00-\u02ff]")
 BLANKS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 
 
@@ -228,10 +230,10 @@ class Splitter:
         self.special = re.compile(f"({escaped})") if escaped else None
         self.marks = tuple(special)
         self.stand_ins = unsettled_characters()
-        self.unsettled = re.compile("[" + "".join(map(chr, self.stand_ins)) + "]") if self.stand_ins else None
+        self.unsettled = frozenset(map(chr, self.stand_ins))
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or self.unsettled is None or not self.unsettled.search(text):
+        if text.isascii() or not FAR.search(text) or self.unsettled.isdisjoint(text):
             return self.split.findall(text)
         return [text[m.start() : m.end()] for m in self.split.finditer(text.translate(self.stand_ins))]
 
