@@ -206,10 +206,10 @@ COLS = (
     WW
     + ", l AS ("
     + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {r(f'(count(*) - count({c})) / count(*)')} AS null_rate FROM wide" for c in COLS)
-    + ') SELECT * FROM l ORDER BY null_rate DESC, "column" LIMIT 10',
+    + ') SELECT * FROM l',
 )
 def _(t):
-    return audits.null_rates(t.wide, top=10)
+    return audits.null_rates(t.wide)
 
 
 @check(
@@ -255,7 +255,7 @@ PAIR_COLS = "l_orderkey l_linenumber count_7d energy_7d rate_7d b_value_7d elaps
         for b in PAIR_COLS[i + 1 :]
         if "constant_col" not in (a, b)
     )
-    + f") SELECT a, b, {r('c')} AS abs_corr FROM l WHERE c >= 0.3 ORDER BY c DESC LIMIT 100",
+    + f") SELECT a, b, {r('c')} AS abs_corr FROM l WHERE c >= 0.3 ORDER BY c DESC",
 )
 def _(t):
     return audits.high_corr_pairs(t.wide, PAIR_COLS, thr=0.3)

@@ -15,7 +15,7 @@ WS = with_views("scored")
 
 @check(
     "latest_events",
-    WC + f"SELECT event_id, event_us, {r('magnitude')} AS magnitude FROM catalog WHERE magnitude >= 4 ORDER BY event_us DESC, event_id LIMIT 100",
+    WC + f"SELECT event_id, event_us, {r('magnitude')} AS magnitude FROM catalog WHERE magnitude >= 4 ORDER BY event_us DESC, event_id LIMIT 250",
 )
 def _(t):
     return serving.latest_events(t.catalog.select("event_id", "event_us", "magnitude"), 250)
@@ -111,7 +111,7 @@ def outcomes(t):
     WS
     + OUTCOMES_SQL
     + f"""SELECT prediction_id, event_id, maturity_7d_us, maturity_30d_us, label_7d, label_30d FROM oc
-      WHERE (label_7d IS NULL AND maturity_7d_us <= {NOW}) OR (label_30d IS NULL AND maturity_30d_us <= {NOW}) ORDER BY maturity_7d_us, prediction_id LIMIT 500""",
+      WHERE (label_7d IS NULL AND maturity_7d_us <= {NOW}) OR (label_30d IS NULL AND maturity_30d_us <= {NOW})""",
 )
 def _(t):
     return serving.pending_outcomes(outcomes(t), NOW).drop("event_us")
@@ -202,8 +202,7 @@ KINDS = "('benchmark_train', 'best_params_retrain', 'feature_ablation', 'feature
 def latest_sql(kinds: str, keys: str) -> str:
     return (
         WR
-        + f""", nw AS (SELECT * FROM runs ORDER BY start_us DESC, run_id DESC LIMIT 200)
-      SELECT run_id, start_us, benchmark_id, run_kind, target, variant, {r('test_pr_auc')} AS test_pr_auc FROM nw
+        + f"""SELECT run_id, start_us, benchmark_id, run_kind, target, variant, {r('test_pr_auc')} AS test_pr_auc FROM runs
       WHERE benchmark_id = 'benchmark_v2' AND run_kind IN {kinds} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY start_us DESC, run_id DESC) = 1"""
     )
 
@@ -231,7 +230,7 @@ def _(t):
 @check(
     "baseline_vs_challenger",
     WR
-    + f""", nw AS (SELECT * FROM (SELECT * FROM runs ORDER BY start_us DESC, run_id DESC LIMIT 200) WHERE benchmark_id = 'benchmark_v2'),
+    + f""", nw AS (SELECT * FROM runs WHERE benchmark_id = 'benchmark_v2'),
       b AS (SELECT run_id AS baseline_run, test_pr_auc AS baseline_test_pr_auc FROM nw WHERE run_kind = 'baseline' ORDER BY start_us DESC, run_id DESC LIMIT 1),
       c AS (SELECT target, run_id AS challenger_run, test_pr_auc AS challenger_test_pr_auc FROM nw WHERE run_kind = 'benchmark_train' AND test_pr_auc IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY target ORDER BY start_us DESC, run_id DESC) = 1)

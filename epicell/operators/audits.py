@@ -166,16 +166,13 @@ def column_roles(df: DataFrame) -> DataFrame:
 
 
 def high_corr_pairs(
-    df: DataFrame, cols: Sequence[str] | None = None, thr: float = 0.95, k: int = 100, sample_rows: int | None = None
+    df: DataFrame, cols: Sequence[str] | None = None, thr: float = 0.95, k: int | None = None
 ) -> DataFrame:
     """(a, b, abs_corr) of column pairs with |Pearson| >= thr over rows where both are present.
 
     Column pairs, not row pairs: each row adds one entry per pair, summed before the shuffle.
     """
     cols = list(cols or numeric_columns(df))
-    source = df
-    if sample_rows is not None:
-        source = df.orderBy(F.rand(42)).limit(sample_rows)
     entries = [
         F.struct(
             F.lit(a).alias("a"),
@@ -186,7 +183,7 @@ def high_corr_pairs(
         for i, a in enumerate(cols)
         for b in cols[i + 1 :]
     ]
-    pairs = source.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    pairs = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     pairs = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     # a constant column has no correlation; its extremes tell exactly, its rounded deviation may not
     varies = (F.max("x") > F.min("x")) & (F.max("y") > F.min("y"))
@@ -194,7 +191,8 @@ def high_corr_pairs(
     value = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
     corr = pairs.groupBy("a", "b").agg(F.abs(value).alias("abs_corr"), varies.alias("varies"))
     strong = corr.where(F.col("varies") & (F.col("abs_corr") >= thr)).drop("varies")
-    return strong.orderBy(F.desc("abs_corr"), "a", "b").limit(k)
+    ordered = strong.orderBy(F.desc("abs_corr"), "a", "b")
+    return ordered if k is None else ordered.limit(k)
 
 
 def dataset_manifest(

@@ -16,6 +16,7 @@ from epicell.constants import (
 from epicell.functions.geo import chord_sq, km_to_chord, unit_xyz
 from epicell.functions.timeparse import floor_div, year_of_us
 from epicell.operators.cells import explode_cover_marked, home_cell
+from epicell.operators.neighbors import cut_hot_blocks
 
 FINE_DEG = 0.5
 
@@ -49,7 +50,9 @@ def radius_count(
     )
     left = explode_cover_marked(places.withColumns(at_xyz), "at_lat", "at_lon", km, deg)
     gap = chord_sq(tuple(F.col(c) for c in at_xyz), tuple(F.col(c) for c in ref_xyz))
-    near = left.join(right, ["cell", "whole"]).where(F.col("whole") | (gap <= km_to_chord(km) ** 2))
+    # a dense cell on the rim of many discs is cut on both sides like any hot block
+    left, right, keys = cut_hot_blocks(left, right, ["cell", "whole"])
+    near = left.join(right, keys).where(F.col("whole") | (gap <= km_to_chord(km) ** 2))
     totals = near.groupBy("at_lat", "at_lon").agg(F.sum("n_here").alias(name))
     on = (F.col("latitude") == F.col("at_lat")) & (F.col("longitude") == F.col("at_lon"))
     return events.join(totals, on, "left").select("event_id", F.coalesce(F.col(name), F.lit(0)).alias(name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epicell.constants import DAYS_PER_YEAR, EPS
 from epicell.operators.cleaning import clip
+from epicell.operators.order_stats import running_below
 from epicell.operators.shape import pick_first, pick_last
 from epicell.session import settle
 
@@ -56,17 +57,19 @@ def encode_first_seen(
 ) -> DataFrame:
     """Code = rank of the value's first appearance in time (ties by event_id); NULL is "unknown".
 
-    The window orders one row per distinct value, not the events. The code table is written
-    before the join, so Spark knows its true size and need not shuffle the events by a value
-    that most of them share. Values that only occur outside `among` have no code.
+    One row per distinct value is ranked, by totals over ranges of time, so a free text with very many
+    values is no single task either. The code table is written before the join, so Spark knows its
+    true size and need not shuffle the events by a value that most of them share. Values that only
+    occur outside `among` have no code.
     """
     value = F.coalesce(F.col(col), F.lit("unknown"))
     seen = df if among is None else df.where(among)
     firsts = seen.groupBy(value.alias("seen_value")).agg(F.min(F.struct("event_us", "event_id")).alias("first_at"))
-    codes = firsts.select(
-        "seen_value", (F.row_number().over(Window.orderBy("first_at")) - 1).alias(out)
-    )
-    codes = settle(codes, "codes")
+    firsts = firsts.withColumn("instant", F.coalesce(F.col("first_at.event_us").cast("double"), F.lit(-1e18)))
+    earlier = running_below(firsts.groupBy("instant").agg(F.count(F.lit(1)).alias("n")), [], "instant", ["n"])
+    within = F.row_number().over(Window.partitionBy("instant").orderBy("first_at"))
+    ranked = firsts.withColumn("within", within).join(earlier.select("instant", "n_below"), "instant")
+    codes = settle(ranked.select("seen_value", (F.col("n_below") + F.col("within") - 1).cast("int").alias(out)), "codes")
     return df.withColumn("seen_value", value).join(codes, "seen_value", "left").drop("seen_value")
 
 

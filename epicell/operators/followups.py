@@ -16,8 +16,7 @@ from epicell.constants import (
     SECOND_US,
 )
 from epicell.functions.timeparse import floor_div
-from epicell.operators.neighbors import MEASURE_ABOVE_BYTES, TimeSpan, near_pairs
-from epicell.operators.shape import plan_bytes
+from epicell.operators.neighbors import TimeSpan, near_pairs
 from epicell.session import settle
 
 SPOT = ("spot_lat", "spot_lon", "spot_t")
@@ -52,18 +51,13 @@ def _day(df_col: str = "event_us") -> Column:
 NEAR_DAYS = 30
 
 
-def _first_gap(
-    events: DataFrame, catalog: DataFrame, last_day: int, km: float, near_first: bool | None = None
-) -> DataFrame:
+def _first_gap(events: DataFrame, catalog: DataFrame, last_day: int, km: float) -> DataFrame:
     """Smallest forward distance in days within [1, last_day] per distinct spot.
 
-    With `near_first` (None: for large inputs) a first pass looks NEAR_DAYS ahead and answers
-    every busy place. A spot it leaves open has no follow-up in reach for NEAR_DAYS, so of each
-    later stretch of that length only the first day per place can matter, and the second pass
-    runs on that much smaller catalogue. Both ways give the same distances.
+    A first pass looks NEAR_DAYS ahead and answers every busy place. A spot it leaves open has no
+    follow-up in reach for NEAR_DAYS, so of each later stretch of that length only the first day per
+    place can matter, and the second pass runs on that much smaller catalogue.
     """
-    if near_first is None:
-        near_first = max(plan_bytes(events), plan_bytes(catalog)) > MEASURE_ABOVE_BYTES
     spots = _distinct_spots(events, _day(), SPOT)
     later = _distinct_spots(catalog.where(_is_followup_size(F.col("magnitude"))), _day(), NEAR)
 
@@ -72,7 +66,7 @@ def _first_gap(
         pairs = near_pairs(open_spots, days, SPOT[:2], NEAR[:2], km, span)
         return pairs.groupBy(*SPOT).agg(F.min(F.col(NEAR[2]) - F.col(SPOT[2])).alias("min_days"))
 
-    if not near_first or last_day <= NEAR_DAYS:
+    if last_day <= NEAR_DAYS:
         return gaps(spots, later, 1, last_day)
     soon = settle(gaps(spots, later, 1, NEAR_DAYS), "followups")
     stretch = floor_div(F.col(NEAR[2]), NEAR_DAYS)
@@ -98,14 +92,13 @@ def forward_labels(
     catalog: DataFrame | None = None,
     horizons: Sequence[int] = HORIZONS_DAYS,
     km: float = RADIUS_KM,
-    near_first: bool | None = None,
 ) -> DataFrame:
     """Every event with its labels: 1 when a follow-up lies within the horizon.
 
     The smallest distance is found once, and all horizons are read from it.
     """
     catalog = events if catalog is None else catalog
-    gaps = _first_gap(events, catalog, max(horizons), km, near_first)
+    gaps = _first_gap(events, catalog, max(horizons), km)
     labelled = _back_to_events(events, _day(), gaps)
     return labelled.select(
         "event_id",

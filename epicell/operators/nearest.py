@@ -185,9 +185,12 @@ def candidates(
 
 
 def _closest(events: DataFrame, found: DataFrame, gap: Column, payload: Sequence[str], carry: Sequence[str]) -> DataFrame:
-    """One row per event: the closest candidate, ties by payload order (the id comes first)."""
-    joined = events.join(found, "qcell")
-    best = F.min(F.struct(gap.alias("gap"), *payload)).alias("best")
+    """One row per event: the closest candidate, ties by payload order (the id comes first).
+
+    An event without a candidate, because there is no object or it has no place, keeps a row of NULLs.
+    """
+    joined = events.join(found.withColumn("found", F.lit(True)), "qcell", "left")
+    best = F.min(F.struct(F.when(F.col("found"), gap).alias("gap"), *payload)).alias("best")
     return joined.groupBy(*carry).agg(best).select(*carry, "best.*")
 
 
@@ -224,7 +227,7 @@ def nearest_station(events: DataFrame, stations: DataFrame, max_km: float = STAT
     )
     points = points.select("oa", "ob", "s.*")
     best = nearest_point(events, points, ["station_id", "azi", "regime", "quality"])
-    near = F.col("gap") <= max_km
+    near = F.coalesce(F.col("gap") <= max_km, F.lit(False))
     azi_sin, azi_cos = azimuth_sin_cos(F.col("azi"))
     return best.select(
         "event_id",
@@ -254,7 +257,7 @@ def nearest_vertex_km(
 def coastal_flag(events: DataFrame, coast: DataFrame) -> DataFrame:
     """1 when the nearest coast vertex is closer than 100 km (on the two-decimal distance)."""
     near = nearest_vertex_km(events, coast, "coast_km", two_decimals=True)
-    return near.select("event_id", (F.col("coast_km") < COAST_KM).cast("int").alias("IsCoastal"))
+    return near.select("event_id", F.coalesce((F.col("coast_km") < COAST_KM).cast("int"), F.lit(0)).alias("IsCoastal"))
 
 
 def _plane_segments(segments: DataFrame) -> DataFrame:
@@ -274,7 +277,8 @@ def nearest_line_km(events: DataFrame, segments: DataFrame, name: str = "dist_km
     found = candidates(grid, placed, objects, point_segment_dist_m(F.col("qa"), F.col("qb"), *ends), corners)
     gap = point_segment_dist_m(F.col("ex"), F.col("ey"), *ends)
     # only the distance is wanted: a plain minimum aggregates in hash form
-    best = placed.join(found, "qcell").groupBy("event_id").agg(F.min(gap).alias("gap"))
+    joined = placed.join(found.withColumn("found", F.lit(True)), "qcell", "left")
+    best = joined.groupBy("event_id").agg(F.min(F.when(F.col("found"), gap)).alias("gap"))
     return best.select("event_id", (F.col("gap") / 1000.0).alias(name))
 
 

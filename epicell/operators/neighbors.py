@@ -17,14 +17,11 @@ from epicell.constants import DAY_US, MIN_MAG_WINDOW, RADIUS_KM
 from epicell.functions.geo import chord_sq, haversine_km, km_to_chord, unit_xyz
 from epicell.functions.timeparse import floor_div
 from epicell.operators.cells import explode_cover, home_cell
-from epicell.operators.shape import plan_bytes
+from epicell.session import settle
 
 CELL_DEG = 2.0
 # a (cell, bucket) block is cut once either side has more rows than this
 BLOCK_ROWS = 100_000
-# below this estimated input size the block counts are not worth a pass over the data
-MEASURE_ABOVE_BYTES = 64 * 1024 * 1024
-SMALL_JOIN = "shuffle_hash"
 
 
 @dataclass(frozen=True)
@@ -63,12 +60,12 @@ def near_pairs(
     km: float = RADIUS_KM,
     span: TimeSpan | None = None,
     deg: float = CELL_DEG,
-    split_blocks: bool | None = None,
 ) -> DataFrame:
     """All pairs within `km` (and within the time span); column names of the sides must differ.
 
-    `split_blocks` cuts hot (cell, bucket) blocks in both directions; None decides by the
-    estimated input size. It never changes the result.
+    Hot (cell, bucket) blocks are counted and cut in both directions, at every size of the input. The
+    left side is then dealt out by block: a block is a bounded number of pairs, so the pairs of
+    a small input are not left to the one task that would read it.
     """
     l_xyz = dict(zip(("l_x", "l_y", "l_z"), unit_xyz(*[F.col(c) for c in left_at])))
     r_xyz = dict(zip(("r_x", "r_y", "r_z"), unit_xyz(*[F.col(c) for c in right_at])))
@@ -81,13 +78,8 @@ def near_pairs(
         r_keyed = r_keyed.withColumn("bucket", span.right_bucket())
         keys.append("bucket")
 
-    small = max(plan_bytes(left), plan_bytes(right)) <= MEASURE_ABOVE_BYTES
-    if split_blocks or (split_blocks is None and not small):
-        l_keyed, r_keyed, keys = cut_hot_blocks(l_keyed, r_keyed, keys)
-    if small:
-        # size estimates ignore the expansion: a broadcast here would leave all pairs of a
-        # one-file input to one core. Large inputs keep Spark's choice.
-        r_keyed = r_keyed.hint(SMALL_JOIN)
+    l_keyed, r_keyed, keys = cut_hot_blocks(l_keyed, r_keyed, keys)
+    l_keyed = l_keyed.repartition(*keys)
 
     limit = km_to_chord(km) ** 2
     gap = chord_sq(
@@ -106,8 +98,9 @@ def cut_hot_blocks(
     """Cut every block with too many rows into a grid of (left part, right part) tiles.
 
     Each left row goes to one left part and is repeated for all right parts, and the other
-    way round, so each pair still meets in exactly one tile. Block counts are partial sums;
-    only blocks that need cutting are kept, and the join with them is an ordinary equi-join.
+    way round, so each pair still meets in exactly one tile. Block counts are partial sums.
+    Only blocks that need cutting are kept. They are written first: Spark then knows how few they
+    are, and does not shuffle a side by the very key that is to be cut.
     """
 
     def sized(df: DataFrame, name: str) -> DataFrame:
@@ -118,6 +111,7 @@ def cut_hot_blocks(
         .join(sized(right, "r_parts"), keys)
         .where((F.col("l_parts") > 1) | (F.col("r_parts") > 1))
     )
+    hot = settle(hot, "hot-blocks")
 
     def parts(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(1))
@@ -138,7 +132,11 @@ def cut_hot_blocks(
 
 
 def radius_join(left: DataFrame, right: DataFrame, km: float = RADIUS_KM) -> DataFrame:
-    """(left_id, right_id, distance_km) for all pairs within `km`; the self pair is included."""
+    """(left_id, right_id, distance_km) for all pairs within `km`; the self pair is included.
+
+    The pairs are the result, so it grows with the square of a dense region: `radius_count` counts
+    them without making them.
+    """
     a = left.select(
         F.col("event_id").alias("left_id"), F.col("latitude").alias("l_lat"), F.col("longitude").alias("l_lon")
     )
@@ -157,7 +155,10 @@ def window_neighbors(
     min_mag: float = MIN_MAG_WINDOW,
     km: float = RADIUS_KM,
 ) -> DataFrame:
-    """Pairs with t - days <= t_neighbor < t: closed below, open above, so ties and self are out."""
+    """Pairs with t - days <= t_neighbor < t: closed below, open above, so ties and self are out.
+
+    The pairs are the result; `window_features` aggregates them where they are found.
+    """
     a = targets.select(
         F.col("event_id").alias("event_id"),
         F.col("event_us").alias("t_us"),

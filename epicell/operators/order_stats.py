@@ -1,9 +1,9 @@
 """Running totals in value order and exact percentiles, without one task seeing all values.
 
-Equal values are summed first. The remaining values are placed in two levels of ranges by an
+Equal values are summed first. The remaining values are placed in three levels of ranges by an
 order-preserving integer key, totals are accumulated over ranges, then over the finer ranges
-of a range, then over the values of a fine range. No window spans more than one range, and
-the top level has a bounded number of them.
+of a range, and so on down to the values of a finest range. No window spans more than one range,
+and a range has a bounded number of finer ones.
 """
 
 from __future__ import annotations
@@ -13,15 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY_SCALE = float(2**32)
-COARSE_BITS = 26
-FINE_BITS = 12
+# an octave of values has 2^40 keys; ranges are 2^-8, 2^-20 and 2^-30 of it
+KEY_SCALE = float(2**40)
+RANGE_BITS = (32, 20, 10)
+LEAST_EXPONENT = 1100.0
 
 
 def value_key(value: Column) -> Column:
-    """Monotone integer key of a double: logarithmic, so it resolves small and huge values alike."""
-    size = F.floor(F.log1p(F.abs(value)) * KEY_SCALE)
-    return F.when(value < 0, -size).otherwise(size)
+    """Monotone integer key of a double: its binary exponent, then its leading binary places.
+
+    Every octave is resolved alike, however small or large its values are. The logarithm may be off at
+    a power of two; exponent and rest then lie on the same straight line, so the order holds.
+    """
+    size = F.abs(value)
+    exponent = F.floor(F.log2(size))
+    # in two steps: 2^-exponent alone may be beyond the range of a double
+    half = F.floor(exponent / 2)
+    rest = size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - exponent)
+    key = F.floor((exponent + LEAST_EXPONENT + rest - 1.0) * KEY_SCALE)
+    return F.when(value == 0, F.lit(0).cast("bigint")).when(value < 0, -key).otherwise(key)
 
 
 def running_below(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
@@ -31,24 +41,32 @@ def running_below(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[s
     """
     by = list(by)
     key = value_key(F.col(value))
-    placed = df.withColumn("coarse", F.shiftright(key, COARSE_BITS)).withColumn("fine", F.shiftright(key, FINE_BITS))
-
-    fine = placed.groupBy(*by, "coarse", "fine").agg(*[F.sum(s).alias(s) for s in sums])
-    coarse = fine.groupBy(*by, "coarse").agg(*[F.sum(s).alias(s) for s in sums])
+    levels = [f"range_{i}" for i in range(len(RANGE_BITS))]
+    placed = df.withColumns({c: F.shiftright(key, bits) for c, bits in zip(levels, RANGE_BITS)})
 
-    def before(within: list[str], order: str) -> Window:
+    def accumulated(frame: DataFrame, within: list[str], order: str) -> dict[str, Column]:
         spec = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-        return spec.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
-    def accumulated(frame: DataFrame, within: list[str], order: str, suffix: str) -> DataFrame:
-        w = before(within, order)
-        return frame.withColumns({f"{s}_{suffix}": F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums})
-
-    coarse = accumulated(coarse, by, "coarse", "c").select(*by, "coarse", *[f"{s}_c" for s in sums])
-    fine = accumulated(fine, [*by, "coarse"], "fine", "f").join(coarse, [*by, "coarse"])
-    fine = fine.select(*by, "fine", *[(F.col(f"{s}_c") + F.col(f"{s}_f")).alias(f"{s}_cf") for s in sums])
-    rows = accumulated(placed, [*by, "fine"], value, "v").join(fine, [*by, "fine"])
-    return rows.select(*df.columns, *[(F.col(f"{s}_cf") + F.col(f"{s}_v")).alias(f"{s}_below") for s in sums])
+        w = spec.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return {s: F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums}
+
+    # totals per range, from the finest level up, each from the one below it
+    totals = [placed.groupBy(*by, *levels).agg(*[F.sum(s).alias(s) for s in sums])]
+    for depth in range(len(levels) - 1, 0, -1):
+        totals.insert(0, totals[0].groupBy(*by, *levels[:depth]).agg(*[F.sum(s).alias(s) for s in sums]))
+    above: DataFrame | None = None
+    for depth, frame in enumerate(totals):
+        within = [*by, *levels[:depth]]
+        sofar = accumulated(frame, within, levels[depth])
+        placed_here = frame.select(*within, levels[depth], *[v.alias(f"{s}_here") for s, v in sofar.items()])
+        if above is None:
+            above = placed_here.withColumnsRenamed({f"{s}_here": f"{s}_above" for s in sums})
+        else:
+            joined = placed_here.join(above, within)
+            above = joined.select(*within, levels[depth], *[(F.col(f"{s}_here") + F.col(f"{s}_above")).alias(f"{s}_above") for s in sums])
+    within = [*by, *levels]
+    own = accumulated(placed, within, value)
+    rows = placed.withColumns({f"{s}_own": v for s, v in own.items()}).join(above, within)
+    return rows.select(*df.columns, *[(F.col(f"{s}_above") + F.col(f"{s}_own")).alias(f"{s}_below") for s in sums])
 
 
 def unpivot_doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:

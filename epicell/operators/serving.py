@@ -26,8 +26,6 @@ VALID_HORIZONS = ("7d", "30d")
 VERSION_KEYS = ["model_version", "benchmark_id", "feature_set_version", "dataset_version"]
 
 FEED_LIMIT, FEED_MAX = 50, 200
-LATEST_MAX = 100
-PENDING_LIMIT = 500
 RUN_LIST_LIMIT = 200
 
 
@@ -35,9 +33,9 @@ RUN_LIST_LIMIT = 200
 
 
 def latest_events(df: DataFrame, n: int) -> DataFrame:
-    """The n most recent M>=4 events, n capped at 100; ties by event_id."""
+    """The n most recent M>=4 events; ties by event_id."""
     strong = df.where(F.col("magnitude") >= MIN_MAG_WINDOW)
-    return strong.orderBy(F.desc("event_us"), "event_id").limit(min(n, LATEST_MAX))
+    return strong.orderBy(F.desc("event_us"), "event_id").limit(n)
 
 
 def public_rows(scored: DataFrame) -> DataFrame:
@@ -104,8 +102,8 @@ def with_risk(df: DataFrame, horizons: Sequence[str] = HORIZON_CODES) -> DataFra
 # ---- outcomes and evaluation ------------------------------------------------
 
 
-def pending_outcomes(outcomes: DataFrame, now_us: int, limit: int | None = PENDING_LIMIT) -> DataFrame:
-    """Outcomes with an open label whose horizon has passed, oldest maturity first."""
+def pending_outcomes(outcomes: DataFrame, now_us: int, limit: int | None = None) -> DataFrame:
+    """Outcomes with an open label whose horizon has passed; with a `limit` those that matured first."""
     due = F.lit(False)
     for h in VALID_HORIZONS:
         due = due | (F.col(f"label_{h}").isNull() & (F.col(f"maturity_{h}_us") <= now_us))
@@ -256,10 +254,10 @@ def newest_runs(runs: DataFrame, limit: int = RUN_LIST_LIMIT) -> DataFrame:
 
 def latest_run_per_key(
     runs: DataFrame, kinds: Sequence[str], keys: Sequence[str] = ("target", "run_kind", "variant"),
-    benchmark_id: str = "benchmark_v2", targets: Sequence[str] = ("label_7d", "label_30d"), limit: int = RUN_LIST_LIMIT,
+    benchmark_id: str = "benchmark_v2", targets: Sequence[str] = ("label_7d", "label_30d"),
 ) -> DataFrame:
-    """Newest run per key among the newest `limit` runs: the list is cut first, then filtered."""
-    wanted = newest_runs(runs, limit).where(
+    """Newest run per key, of all runs of the benchmark, kinds and targets."""
+    wanted = runs.where(
         (F.col("benchmark_id") == benchmark_id) & F.col("run_kind").isin(*kinds) & F.col("target").isin(*targets)
     )
     return pick_last(wanted, list(keys), [F.col("start_us"), F.col("run_id")])
@@ -267,13 +265,13 @@ def latest_run_per_key(
 
 def baseline_vs_challenger(
     runs: DataFrame, metrics: Sequence[str], benchmark_id: str = "benchmark_v2",
-    targets: Sequence[str] = ("label_7d", "label_30d"), limit: int = RUN_LIST_LIMIT,
+    targets: Sequence[str] = ("label_7d", "label_30d"),
 ) -> DataFrame:
     """Newest baseline next to the newest complete challenger of each target; no baseline, no rows.
 
     A target without a complete challenger keeps its row.
     """
-    listed = newest_runs(runs, limit).where(F.col("benchmark_id") == benchmark_id)
+    listed = runs.where(F.col("benchmark_id") == benchmark_id)
     base = listed.where(F.col("run_kind") == "baseline").orderBy(F.desc("start_us"), F.desc("run_id")).limit(1)
     complete = listed.where((F.col("run_kind") == "benchmark_train") & F.col("target").isin(*targets))
     complete = complete.dropna(subset=list(metrics))

@@ -1,4 +1,4 @@
-"""Small shared helpers: picking one row per key, measuring a frame before choosing a route."""
+"""Small shared helpers: picking one row per key, columns by type."""
 
 from __future__ import annotations
 
@@ -38,35 +38,6 @@ def _source(column: str, keys: Sequence[str]) -> Column:
     return F.col("picked_row").getField(column).alias(column)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True when the frame provably has no more than `rows` rows; reads no further than that."""
-    return df.select(F.lit(1).alias("one")).limit(rows + 1).count() <= rows
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame; very large when it has none. Runs no job."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except AttributeError:  # a remote session does not expose the plan
-        return 2**62
-
-
-SPREAD_BYTES = (4 * 1024 * 1024, 64 * 1024 * 1024)
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal the rows of a one-file input of a few megabytes to all cores.
-
-    Such a file is one task whatever is computed from it. A tiny one is not worth the shuffle,
-    and a large one already has many splits; both are returned as they are.
-    """
-    low, high = SPREAD_BYTES
-    if not low < plan_bytes(df) < high:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
     kinds = ("double", "float", "int", "bigint", "smallint", "tinyint")
     return [c for c, t in df.dtypes if t in kinds and c not in skip]

@@ -20,12 +20,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # the joins multiply few bytes into much work: small partitions may stay apart while cores are free
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB",
 }
 
-
-# on one machine the joins multiply few bytes into much work: keep every core busy
-LOCAL_SETTINGS = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB"}
-
 BYTES_PER_TASK = 128 * 1024 * 1024
 
 # call-site capture costs a JVM round trip per column expression; long plans feel it
@@ -34,8 +32,7 @@ DEBUGGING = "spark.python.sql.dataFrameDebugging.enabled"
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
-    local = spark.sparkContext.master.startswith("local")
-    for key, value in (RUNTIME_SETTINGS | (LOCAL_SETTINGS if local else {})).items():
+    for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     if spark.conf.isModifiable(DEBUGGING):
         spark.conf.set(DEBUGGING, "false")
@@ -60,6 +57,7 @@ def local_session(app: str = "epicell", cores: str = "*", shuffle_partitions: in
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.files.maxPartitionBytes", "2m")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config(DEBUGGING, "false")

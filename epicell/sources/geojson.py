@@ -21,7 +21,6 @@ LINE_SCHEMA = (
 )
 PLATE_TYPES = ("LineString", "MultiLineString")
 ALL_TYPES = ("LineString", "MultiLineString", "Polygon", "MultiPolygon")
-LATEST_CAP = 100
 
 
 def feature_events(docs: DataFrame) -> DataFrame:
@@ -55,10 +54,10 @@ def parse_geojson_events(
 
 
 def parse_geojson_latest(spark: SparkSession, path: str, n: int, one_per_line: bool = False) -> DataFrame:
-    """The n most recent M>=4 events (at most 100); a missing depth is 33 km."""
+    """The n most recent M>=4 events ; a missing depth is 33 km."""
     events = clean_feed(feature_events(read_event_docs(spark, path, one_per_line)), MIN_MAG_WINDOW)
     filled = events.withColumn("depth", F.coalesce(F.col("depth"), F.lit(DEFAULT_DEPTH_KM)))
-    return filled.orderBy(F.desc("event_us"), "event_id").limit(min(n, LATEST_CAP))
+    return filled.orderBy(F.desc("event_us"), "event_id").limit(n)
 
 
 def _parts(kind: Column, text: Column) -> Column:

@@ -31,10 +31,12 @@ def stream_ingest_events(
 def stream_dedup(events: DataFrame, overlap: str = "2 days") -> DataFrame:
     """The first row per event_id among polls that overlap by at most `overlap`.
 
-    State is kept for the overlap only. Later revisions go through the rolling catalogue.
+    The watermark is on the arrival: an event that is reported late, with an origin time long
+    past, is as new as any other. State is kept for the overlap only. Later revisions go
+    through the rolling catalogue.
     """
-    timed = events.withColumn("event_time", F.timestamp_micros("event_us"))
-    return timed.withWatermark("event_time", overlap).dropDuplicatesWithinWatermark(["event_id"])
+    arrived = events.withColumn("arrived", F.current_timestamp())
+    return arrived.withWatermark("arrived", overlap).dropDuplicatesWithinWatermark(["event_id"]).drop("arrived")
 
 
 def roll(previous: DataFrame | None, batch: DataFrame, batch_no: int, now_us: int | None, days: int = ROLLING_DAYS) -> DataFrame:

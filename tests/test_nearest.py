@@ -89,3 +89,21 @@ def test_single_vertex_line_is_a_point(spark):
     assert (row.lat_a, row.lon_a, row.lat_b, row.lon_b) == (5.0, 6.0, 5.0, 6.0)
     event = spark.createDataFrame([(1, 5.0, 6.0)], "event_id int, latitude double, longitude double")
     assert nearest_line_km(event, polyline_segments(vertices)).first().dist_km == pytest.approx(0.0, abs=1e-6)
+
+
+def test_empty_layers_keep_all_events(spark):
+    from epicell.operators.nearest import coastal_flag, nearest_centroid_attr, nearest_line_km, nearest_station, nearest_vertex_km
+
+    events = spark.createDataFrame([(1, 10.0, 20.0), (2, -90.0, 0.0), (3, 5.0, 179.9)], "event_id long, latitude double, longitude double")
+    stations = spark.createDataFrame([], "station_id long, lat double, lon double, azi double, regime string, quality string")
+    got = nearest_station(events, stations).orderBy("event_id").collect()
+    assert [tuple(r) for r in got] == [(i, 4, 0.0, 0.0, 0, None) for i in (1, 2, 3)]
+    vertices = spark.createDataFrame([], "lat double, lon double")
+    segments = spark.createDataFrame([], "line_id long, lat_a double, lon_a double, lat_b double, lon_b double")
+    types = spark.createDataFrame([], "line_id long, slip_type string")
+    assert {r[1] for r in nearest_vertex_km(events, vertices).collect()} == {None}
+    assert {r[1] for r in coastal_flag(events, vertices).collect()} == {0}
+    assert nearest_line_km(events, segments).count() == 3
+    assert {r[1] for r in nearest_centroid_attr(events, segments, types).collect()} == {0}
+    one = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], "line_id long, lat_a double, lon_a double, lat_b double, lon_b double")
+    assert nearest_line_km(events, one).count() == 3

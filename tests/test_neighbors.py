@@ -67,14 +67,14 @@ def test_radius_join_is_exact(world, radius):
     assert got == set(zip(*np.where(dist <= radius)))
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_cutting_hot_blocks_changes_nothing(world, split, monkeypatch):
+@pytest.mark.parametrize("rows", [7, neighbors.BLOCK_ROWS])
+def test_cutting_hot_blocks_changes_nothing(world, rows, monkeypatch):
     pdf, df, dist = world
-    monkeypatch.setattr(neighbors, "cut_hot_blocks", lambda a, b, k: _cut(a, b, k))
+    monkeypatch.setattr(neighbors, "cut_hot_blocks", lambda a, b, k: _cut_original(a, b, k, block_rows=rows))
     a = df.select(F.col("event_id").alias("a"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"), F.col("event_us").alias("ta"))
     b = df.select(F.col("event_id").alias("b"), F.col("latitude").alias("lb"), F.col("longitude").alias("lp"), F.col("event_us").alias("tb"))
     span = TimeSpan("ta", "tb", -30 * DAY_US, 30 * DAY_US)
-    got = [(r.a, r.b) for r in near_pairs(a, b, ("la", "lo"), ("lb", "lp"), 400.0, span, split_blocks=split).select("a", "b").collect()]
+    got = [(r.a, r.b) for r in near_pairs(a, b, ("la", "lo"), ("lb", "lp"), 400.0, span).select("a", "b").collect()]
     t = pdf.event_us.to_numpy()
     want = np.where((dist <= 400.0) & (np.abs(t[:, None] - t[None, :]) <= 30 * DAY_US))
     assert len(got) == len(set(got))
@@ -84,9 +84,12 @@ def test_cutting_hot_blocks_changes_nothing(world, split, monkeypatch):
 _cut_original = neighbors.cut_hot_blocks
 
 
-def _cut(a, b, k):
-    # a tiny block size, so that many blocks are cut on both sides
-    return _cut_original(a, b, k, block_rows=7)
+def test_half_of_the_rows_in_one_cell_are_many_tiles(spark):
+    df = spark.range(4000).selectExpr("id as a", "if(id % 2 = 0, 1, id) as cell")
+    left, right, keys = neighbors.cut_hot_blocks(df, df.withColumnRenamed("a", "b"), ["cell"], block_rows=100)
+    rows = left.groupBy(*keys).count().join(right.groupBy(*keys).count().withColumnRenamed("count", "n"), keys)
+    largest = rows.selectExpr("max(count * n) as m", "sum(count * n) as total").first()
+    assert largest.total == 2001 * 2001 + 1999 and largest.m < 4 * 100 * 100
 
 
 def test_window_is_closed_below_and_open_above(spark):
@@ -105,8 +108,7 @@ def test_radius_count_is_exact(world):
     assert got == dict(enumerate(want))
 
 
-@pytest.mark.parametrize("near_first", [False, True])
-def test_labels_on_day_granularity(spark, near_first):
+def test_labels_on_day_granularity(spark):
     d = DAY_US
     rows = [
         (0, 100 * d + 5, 10.0, 20.0, 1.0, 4.0),
@@ -116,7 +118,7 @@ def test_labels_on_day_granularity(spark, near_first):
         (4, 833 * d, 50.0, 20.0, 1.0, 9.0),  # far away
         (5, 838 * d, 10.0, 20.0, 1.0, 5.0),  # exactly 7 days after 3
     ]
-    got = {r.event_id: (r.label_7d, r.label_30d, r.label_365d) for r in forward_labels(spark.createDataFrame(rows, SCHEMA), near_first=near_first).collect()}
+    got = {r.event_id: (r.label_7d, r.label_30d, r.label_365d) for r in forward_labels(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {0: (0, 0, 1), 1: (0, 0, 1), 2: (0, 0, 0), 3: (1, 1, 1), 4: (0, 0, 0), 5: (0, 0, 0)}
 
 
@@ -162,11 +164,10 @@ def test_window_statistics_policies(spark):
     assert row.moment_1d == pytest.approx((10 ** (1.5 * mags + 9.1)).sum())
 
 
-@pytest.mark.parametrize("near_first", [False, True])
-def test_labels_equal_brute_force(world, near_first):
+def test_labels_equal_brute_force(world):
     pdf, df, dist = world
     day, big = pdf.event_us.to_numpy() // DAY_US, pdf.magnitude.to_numpy() >= 5
-    got = {r.event_id: (r.label_7d, r.label_30d, r.label_365d) for r in forward_labels(df, near_first=near_first).collect()}
+    got = {r.event_id: (r.label_7d, r.label_30d, r.label_365d) for r in forward_labels(df).collect()}
     for i in range(len(pdf)):
         gap = (day - day[i])[(dist[i] <= 200) & big]
         assert got[i] == tuple(int(((gap > 0) & (gap <= h)).any()) for h in (7, 30, 365))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 import checks
 from epicell.fixtures import Tables
 from epicell.operators import cleaning, serving
-from epicell.operators.shape import at_most
 from epicell.operators.windows import window_features
 from epicell.session import shared_dir, size_shuffles
 from epicell.sources.catalogs import read_catalog_any
@@ -126,8 +125,6 @@ def test_broken_document_loses_only_itself(spark):
     assert [(r.event_id, r.latitude, r.longitude, r.depth) for r in rows] == [("a", 2.0, 1.0, None)]
 
 
-def test_bounded_count(spark):
-    assert at_most(spark.range(10), 10) and not at_most(spark.range(11), 10)
 
 
 def plan_of(df):
