@@ -18,7 +18,7 @@ from epicell.session import settle
 LEADING = 2
 # shorter lines are no templates; from the second length on, one half may vary
 MIN_TOKENS = 4
-MIN_VARIED_TOKENS = 8
+MIN_VARIED_TOKENS = 16
 # a template recurs when so many different texts hold it
 MIN_TEXTS = 3
 FIELD = "<*>"

@@ -200,10 +200,12 @@ def train_dictionary(pages: DataFrame, key: str, payload: str, date: str) -> byt
         body = text.encode()
         digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
         samples.append(build_record(page_id, url, body, digest, None, False, date))
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    for size in (DICTIONARY_BYTES, DICTIONARY_BYTES // 4, DICTIONARY_BYTES // 16, DICTIONARY_BYTES // 64):
+        try:
+            return zstandard.train_dictionary(size, samples).as_bytes()
+        except zstandard.ZstdError:  # too little in the samples for one of this size
+            continue
+    return b""
 
 
 def write_archives(
