@@ -126,7 +126,7 @@ class ArchiveWriter:
         system, path = pyarrow.fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
         self.name, self.records, self.size = name, 0, 0
-        self.out = system.open_output_stream(posixpath.join(path, name))
+        self.out = system.open_output_stream(posixpath.join(path, name), compression=None)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         if dictionary:
@@ -148,7 +148,7 @@ class ArchiveWriter:
 def read_archive(folder: str, name: str) -> Iterator[bytes]:
     """The records of one archive, frame by frame; memory holds one record at a time."""
     system, path = pyarrow.fs.FileSystem.from_uri(folder)
-    with system.open_input_stream(posixpath.join(path, name), buffer_size=1 << 20) as stream:
+    with system.open_input_stream(posixpath.join(path, name), compression=None, buffer_size=1 << 20) as stream:
         rest = stream.read(8)
         shared = None
         if len(rest) == 8 and struct.unpack("<I", rest[:4])[0] == DICTIONARY_MAGIC:
