@@ -268,7 +268,12 @@ def _(t):
     return splits.split_year_ranges(t.catalog).select("event_id", "split")
 
 
-@check("split_random")
+@check(
+    "split_random",
+    WC
+    + """SELECT event_id, CASE WHEN CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END AS split
+      FROM catalog""",
+)
 def _(t):
     return splits.split_random(t.catalog).select("event_id", "split")
 

@@ -44,6 +44,10 @@ def split_year_ranges(df: DataFrame, us: str = "event_us") -> DataFrame:
 
 
 def split_random(df: DataFrame, key: str = "event_id", train_percent: int = 80, seed: int = 42) -> DataFrame:
-    """Stable random split: depends on the key alone, not on partitioning."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(100))
+    """Stable random split: depends on the key alone, not on partitioning, and any engine can repeat it.
+
+    The draw is the first 32 bits of md5("seed:key"), modulo 100; a NULL key is in the test part.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    draw = F.when(F.col(key).isNotNull(), F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100)
     return df.withColumn("split", F.when(draw < train_percent, "train").otherwise("test"))

@@ -114,20 +114,37 @@ class OutcomeJob:
 
 @dataclass
 class HealthJob:
-    """Appends one run row per batch and exposes the alerts on the run log."""
+    """Runs a step on every batch, appends one run row, and exposes the alerts on the run log.
+
+    A step that fails gets its row as well, with success false and nothing published, and the error goes
+    on to the stream.
+    """
 
     spark: SparkSession
     log_path: str
     pipeline_name: str
     now_us: Callable[[], int]
+    step: Callable[[DataFrame, int], None] | None = None
 
     def __call__(self, batch: DataFrame, batch_no: int) -> None:
-        facts = batch.agg(F.count(F.lit(1)).alias("published_rows"), F.max("event_us").alias("newest_event_us"))
+        try:
+            if self.step is not None:
+                self.step(batch, batch_no)
+            facts = batch.agg(F.count(F.lit(1)).alias("published_rows"), F.max("event_us").alias("newest_event_us"))
+            self._log(facts, batch_no, True)
+        except Exception:
+            nothing = self.spark.range(1).select(
+                F.lit(0).cast("bigint").alias("published_rows"), F.lit(None).cast("bigint").alias("newest_event_us")
+            )
+            self._log(nothing, batch_no, False)
+            raise
+
+    def _log(self, facts: DataFrame, batch_no: int, success: bool) -> None:
         row = facts.select(
             F.lit(self.pipeline_name).alias("pipeline_name"),
             F.lit(batch_no).cast("bigint").alias("batch_no"),
             F.lit(self.now_us()).cast("bigint").alias("finished_us"),
-            F.lit(True).alias("success"),
+            F.lit(success).alias("success"),
             "published_rows",
             "newest_event_us",
         )

@@ -26,6 +26,6 @@ def test_equals_sql(spark, con, folder, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["split_random", "feature_importance", "train_compact"])
+@pytest.mark.parametrize("name", ["feature_importance", "train_compact"])
 def test_gives_rows(spark, folder, name):
     assert checks.QUERIES[name](spark, folder).count() > 0

@@ -3,8 +3,11 @@
 import json
 import os
 
+import pytest
+
 from epicell.session import shared_dir
 from epicell.streaming.catalog import stream_dedup, stream_ingest_events
+from epicell.streaming.serving import HealthJob
 
 DAY_MS = 86_400_000
 
@@ -23,3 +26,17 @@ def test_events_reported_late_are_kept(spark):
     query.awaitTermination()
     assert query.exception() is None
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_a_failed_run_is_logged_and_raises_the_alert(spark):
+    def step(batch, batch_no):
+        if batch_no == 1:
+            raise RuntimeError("publishing failed")
+
+    now = 1_700_000_000_000_000
+    job = HealthJob(spark, shared_dir(spark, "runs"), "scoring", lambda: now, step)
+    events = spark.createDataFrame([(now - 1,)], "event_us long")
+    job(events, 0)
+    with pytest.raises(RuntimeError):
+        job(events, 1)
+    assert {(r.batch_no, r.success, r.published_rows) for r in job.runs().collect()} == {(0, True, 1), (1, False, 0)}
