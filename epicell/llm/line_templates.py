@@ -25,48 +25,66 @@ FIELD = "<*>"
 BLANKS = " \t\r"
 
 
-def masked(line: Column) -> Column:
-    """The trimmed line with every token that has a digit or an @ replaced by FIELD."""
-    bare = F.trim(line, F.lit(BLANKS))
-    fields = F.regexp_replace(bare, "(^|[ \t])[^ \t]*[0-9@][^ \t]*", "$1" + FIELD)
-    return F.when(bare.rlike("[0-9@]"), fields).otherwise(bare)
+def bare(line: Column) -> Column:
+    """The trimmed line with single blanks between its tokens."""
+    text = F.trim(line, F.lit(BLANKS))
+    odd = F.contains(text, F.lit("  ")) | F.contains(text, F.lit("\t"))
+    return F.when(odd, F.regexp_replace(text, "[ \t]+", " ")).otherwise(text)
 
 
-def template_keys(line: Column) -> Column:
-    """Keys of the templates that a line can belong to: itself masked, and one for each half that may vary.
+def masked(text: Column) -> Column:
+    """A bare line with every token that has a digit or an @ replaced by FIELD."""
+    return F.when(text.rlike("[0-9@]"), F.regexp_replace(text, "(^| )[^ ]*[0-9@][^ ]*", "$1" + FIELD)).otherwise(text)
+
+
+def token_count(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+
+
+def template_keys(text: Column, n: Column) -> Column:
+    """Keys of the templates of a masked line of n tokens: itself, and one for each half that may vary.
 
     Lines with too few tokens, or with more fields than constant tokens, have none.
     """
-    text = masked(line)
-    tokens = F.split(text, "[ \t]+")
-    n = F.size(tokens)
     fields = (F.length(text) - F.length(F.replace(text, F.lit(FIELD), F.lit("")))) / len(FIELD)
     half = F.floor((n - LEADING) / 2).cast("int")
-    lead = F.slice(tokens, 1, LEADING)
-    first, second = F.slice(tokens, F.lit(LEADING + 1), half), F.slice(tokens, half + LEADING + 1, n)
-    whole = F.xxhash64(F.lit(0), tokens)
-    varied = F.array(whole, F.xxhash64(F.lit(1), n, lead, second), F.xxhash64(F.lit(2), n, lead, first))
+    whole = F.xxhash64(F.lit(0), text)
+    first_varies = F.xxhash64(F.lit(1), n, F.substring_index(text, " ", LEADING), _after(text, n - LEADING - half))
+    second_varies = F.xxhash64(F.lit(2), n, _before(text, half + LEADING))
     return (
         F.when((n < MIN_TOKENS) | (fields * 2 > n), F.array().cast("array<bigint>"))
         .when(n < MIN_VARIED_TOKENS, F.array(whole))
-        .otherwise(varied)
+        .otherwise(F.array(whole, first_varies, second_varies))
     )
 
 
+def _before(text: Column, tokens: Column) -> Column:
+    return F.call_function("substring_index", text, F.lit(" "), tokens.cast("int"))
+
+
+def _after(text: Column, tokens: Column) -> Column:
+    return F.call_function("substring_index", text, F.lit(" "), (-tokens).cast("int"))
+
+
 def recurring_templates(texts: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(template, text_hash): where recurring templates have to go, from (key, text_hash, text).
 
     Texts are counted, not rows: copies of a document are one text. Of each recurring template the text
-    with the smallest key (then hash) keeps its lines and is left out here. A template that a third of
-    all texts hold is counted by (template, text) first, so no task sees all its rows.
+    with the smallest key keeps its lines and is left out here; texts that share that key all keep
+    them, and NULL keys come last. A template that a third of all texts hold is counted by
+    (template, text) first, so no task sees all its rows.
     """
-    lines = texts.select("key", "text_hash", F.explode(F.split("text", "\n")).alias("line"))
-    keys = lines.select("key", "text_hash", F.explode(template_keys(F.col("line"))).alias("template"))
-    held = settle(keys.groupBy("template", "text_hash").agg(F.min(F.struct(F.col("key").isNull(), "key")).alias("first")), "templates")
-    held = held.withColumn("holder", F.struct("first", "text_hash"))
-    recurring = held.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("holder").alias("keeper")).where(F.col("texts") >= min_texts)
-    places = held.select("template", "text_hash").join(recurring.select("template", F.col("keeper.text_hash").alias("keeper")), "template")
-    return places.where(F.col("text_hash") != F.col("keeper")).select("template", "text_hash")
+    # explode() would have Spark test the size of the array first, and compute it all a second time;
+    # columns come one after the other, so that each is computed once for a line
+    lines = texts.select("key", "text_hash", F.explode_outer(F.split("text", "\n")).alias("line"))
+    lines = lines.withColumn("line", bare(F.col("line"))).withColumn("line", masked(F.col("line")))
+    lines = lines.withColumn("n", token_count(F.col("line"))).where(F.col("n") >= MIN_TOKENS)
+    keyed = lines.withColumn("templates", template_keys(F.col("line"), F.col("n")))
+    keys = keyed.select("key", "text_hash", F.explode_outer("templates").alias("template")).where(F.col("template").isNotNull())
+    held = settle(keys.groupBy("template", "text_hash").agg(F.min("key").alias("first")), "templates")
+    recurring = held.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("least")).where(F.col("texts") >= min_texts)
+    places = held.join(recurring.select("template", "least"), "template")
+    return places.where(~F.col("first").eqNullSafe(F.col("least"))).select("template", "text_hash")
 
 
 def drop_recurring_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -85,8 +103,12 @@ def drop_recurring_lines(documents: DataFrame, key: str = "doc_id", text: str =
     # ordinary join on the text: copies of one text may be many rows, which the runtime can split
     joined = rows.join(gone.withColumnRenamed("text_hash", "llm_text_hash"), "llm_text_hash", "left")
     lines = F.split(col(text).cast("string"), "\n")
-    kept = F.filter(lines, lambda line: ~F.coalesce(F.arrays_overlap(template_keys(line), F.col("llm_gone")), F.lit(False)))
-    joined = joined.withColumn("llm_kept", F.when(F.col("llm_gone").isNotNull(), kept))
+    # step by step over all lines, so that nothing is computed twice for a line
+    prepared = F.transform(F.transform(lines, bare), masked)
+    counted = F.transform(prepared, lambda m: F.struct(m.alias("m"), token_count(m).alias("n")))
+    keys = F.transform(counted, lambda x: template_keys(x["m"], x["n"]))
+    kept = F.zip_with(lines, keys, lambda line, k: F.when(~F.coalesce(F.arrays_overlap(k, F.col("llm_gone")), F.lit(False)), line))
+    joined = joined.withColumn("llm_kept", F.when(F.col("llm_gone").isNotNull(), F.array_compact(kept)))
     changed = F.when(F.col("llm_kept").isNotNull(), F.array_join("llm_kept", "\n")).otherwise(col(text))
     dropped = F.when(F.col("llm_kept").isNotNull(), F.size(lines) - F.size("llm_kept")).otherwise(F.lit(0))
     return joined.select(*[changed.alias(c) if c == text else col(c) for c in names], dropped.cast("int").alias("dropped_lines"))
