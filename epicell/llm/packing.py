@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -28,10 +29,11 @@ OPEN_WINDOWS = 64
 MIN_CUT = 64
 # leftover windows that one merging task takes
 MERGE_WINDOWS = 1024
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 700_000
 
-# characters whose normal form, white space and lower case need no look at their neighbours
-PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-įı-˿]")
+# characters whose normal form, white space or lower case is more than a look at themselves
+ODD = re.compile("[\x1c-\x1f\x85İ]|[^\x00-\u02ff]")
+ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f")
 # fixed value of the format: how text without white space is split before any merge
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
@@ -39,8 +41,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 class WordEncoder:
     """Ids of whole texts by a tokenizer of lower-case words that never cross white space.
 
-    A chunk between white space is split and merged once and then remembered. A text with a character
-    outside PLAIN, or with the opening of a special token, is given to the tokenizers library whole.
+    A chunk between white space is split and merged once and then remembered. A text with an
+    odd character, or with the opening of a special token, is given to the tokenizers library whole.
     """
 
     def __init__(self, path: str):
@@ -57,13 +59,14 @@ class WordEncoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.words: dict[str, list[int]] = {}
-        self.flat = np.zeros(1 << 20, dtype=np.uint32)
-        self.starts = np.zeros(1 << 16, dtype=np.int64)
+        self.flat = array("I")
+        self.starts = array("q", [0])
 
     def _trim(self) -> None:
         """Forget the later half: what was met first is met most."""
         keep = len(self.known) // 2
         self.known = dict(islice(self.known.items(), keep))
+        del self.starts[keep + 1 :], self.flat[self.starts[keep] :]
         self.words = dict(islice(self.words.items(), len(self.words) // 2))
 
     def _word(self, word: str) -> list[int]:
@@ -75,43 +78,43 @@ class WordEncoder:
     def _learn(self, chunk: str) -> int:
         words = self.split(chunk)
         ids = self.vocabulary.merge(chunk.encode()) if len(words) == 1 else [i for w in words for i in self._word(w)]
-        n = len(self.known)
-        begin = self.starts[n]
-        end = begin + len(ids)
-        if n + 2 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[begin:end] = ids
-        self.starts[n + 1] = end
-        self.known[chunk] = n
+        n = self.known[chunk] = len(self.known)
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
         return n
 
+    @staticmethod
+    def plain(text: str) -> bool:
+        odd = any(c in text for c in ODD_ASCII) if text.isascii() else ODD.search(text) is not None
+        return not odd and "<|" not in text
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            if PLAIN.search(text) or "<|" in text:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
-                continue
-            if len(self.known) + len(self.words) > REMEMBERED_WORDS:
-                self._trim()
-            chunks = text.lower().split()
-            places = list(map(self.known.get, chunks))
-            if None in places:
-                for i, place in enumerate(places):
-                    if place is None:
-                        chunk = chunks[i]
-                        places[i] = self.known[chunk] if chunk in self.known else self._learn(chunk)
-            out.append(self._gather(np.array(places, dtype=np.int64)))
-        return out
-
-    def _gather(self, places: np.ndarray) -> np.ndarray:
-        if not len(places):
-            return np.zeros(0, dtype=np.uint32)
-        begin = self.starts[places]
-        lengths = self.starts[places + 1] - begin
+        if len(self.known) + len(self.words) > REMEMBERED_WORDS:
+            self._trim()
+        places, bounds, out = [], [0], {}
+        for i, text in enumerate(texts):
+            if self.plain(text):
+                chunks = text.lower().split()
+                found = list(map(self.known.get, chunks))
+                if None in found:
+                    for j, place in enumerate(found):
+                        if place is None:
+                            chunk = chunks[j]
+                            found[j] = self.known[chunk] if chunk in self.known else self._learn(chunk)
+                places += found
+            else:
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            bounds.append(len(places))
+        at = np.array(places, dtype=np.int64)
+        starts = np.frombuffer(self.starts, dtype=np.int64)
+        begin = starts[at]
+        lengths = starts[at + 1] - begin
         ends = np.cumsum(lengths)
-        return self.flat[np.arange(ends[-1]) + np.repeat(begin - (ends - lengths), lengths)]
+        ids = np.zeros(0, dtype=np.uint32)
+        if len(ends) and ends[-1]:
+            ids = np.frombuffer(self.flat, dtype=np.uint32)[np.arange(ends[-1]) + np.repeat(begin - (ends - lengths), lengths)]
+        cuts = np.concatenate([[0], ends])[bounds].tolist()
+        return [out[i] if i in out else ids[lo:hi] for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
 
 
 _encoders: dict[str, WordEncoder] = {}
