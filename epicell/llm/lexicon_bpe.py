@@ -319,9 +319,18 @@ class Encoder:
         """Ids of all texts end to end, and where each begins."""
         if self.count > REMEMBERED_PIECES:
             self._trim()
+        split = [self.splitter.parts(text) for text in texts]
+        # what is new in all texts is learnt at once: all its words then walk the automaton together
+        new: set[str] = set()
+        for parts in split:
+            for part in parts[::2]:
+                if splits_by_blank(part):
+                    new.update(part.split(" ")[1:])
+        new -= self.pieces.keys()
+        if new:
+            self._learn_pieces(sorted(new))
         places, sizes = [], []
-        for text in texts:
-            parts = self.splitter.parts(text)
+        for parts in split:
             here = self._places(parts[0])
             for special, part in zip(parts[1::2], parts[2::2]):
                 here.append(-1 - self.vocabulary.special[special])
