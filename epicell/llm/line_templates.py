@@ -21,6 +21,8 @@ MIN_TOKENS = 4
 MIN_VARIED_TOKENS = 16
 # a template recurs when so many different texts hold it
 MIN_TEXTS = 3
+# a whole line of MIN_VARIED_TOKENS tokens or more says enough to recur in two texts, where that is asked for
+MIN_LONG_TEXTS = 2
 FIELD = "<*>"
 BLANKS = " \t\r"
 
@@ -51,6 +53,9 @@ def template_keys(text: Column, n: Column) -> Column:
     whole = F.xxhash64(F.lit(0), text)
     first_varies = F.xxhash64(F.lit(1), n, F.substring_index(text, " ", LEADING), _after(text, n - LEADING - half))
     second_varies = F.xxhash64(F.lit(2), n, _before(text, half + LEADING))
+    # the lowest bit tells whole long lines apart, which may need fewer texts
+    whole = F.when(n >= MIN_VARIED_TOKENS, whole.bitwiseOR(F.lit(1))).otherwise(whole.bitwiseAND(F.lit(-2)))
+    first_varies, second_varies = first_varies.bitwiseAND(F.lit(-2)), second_varies.bitwiseAND(F.lit(-2))
     return (
         F.when((n < MIN_TOKENS) | (fields * 2 > n), F.array().cast("array<bigint>"))
         .when(n < MIN_VARIED_TOKENS, F.array(whole))
@@ -66,7 +71,7 @@ def _after(text: Column, tokens: Column) -> Column:
     return F.call_function("substring_index", text, F.lit(" "), (-tokens).cast("int"))
 
 
-def recurring_templates(texts: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+def recurring_templates(texts: DataFrame, min_texts: int = MIN_TEXTS, min_long_texts: int | None = None) -> DataFrame:
     """(template, text_hash): where recurring templates have to go, from (key, text_hash, text).
 
     Texts are counted, not rows: copies of a document are one text. Of each recurring template the text
@@ -82,12 +87,16 @@ def recurring_templates(texts: DataFrame, min_texts: int = MIN_TEXTS) -> DataFra
     keyed = lines.withColumn("templates", template_keys(F.col("line"), F.col("n")))
     keys = keyed.select("key", "text_hash", F.explode_outer("templates").alias("template")).where(F.col("template").isNotNull())
     held = settle(keys.groupBy("template", "text_hash").agg(F.min("key").alias("first")), "templates")
-    recurring = held.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("least")).where(F.col("texts") >= min_texts)
+    long = F.col("template").bitwiseAND(F.lit(1)) == 1
+    needed = F.when(long, F.lit(min_texts if min_long_texts is None else min_long_texts)).otherwise(F.lit(min_texts))
+    recurring = held.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("least")).where(F.col("texts") >= needed)
     places = held.join(recurring.select("template", "least"), "template")
     return places.where(~F.col("first").eqNullSafe(F.col("least"))).select("template", "text_hash")
 
 
-def drop_recurring_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", min_texts: int = MIN_TEXTS) -> DataFrame:
+def drop_recurring_lines(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", min_texts: int = MIN_TEXTS, min_long_texts: int | None = None
+) -> DataFrame:
     """All rows and columns, lines of recurring templates taken out of `text`, and `dropped_lines`.
 
     A line goes when one of its templates occurs in at least `min_texts` different texts and this text is not the
@@ -99,7 +108,7 @@ def drop_recurring_lines(documents: DataFrame, key: str = "doc_id", text: str =
     names = [c for c in documents.columns if c != "dropped_lines"]
     rows = documents.select(*[col(c) for c in names], F.xxhash64(col(text).cast("string")).alias("llm_text_hash"))
     plain = rows.where(col(text).isNotNull()).select(col(key).alias("key"), F.col("llm_text_hash").alias("text_hash"), col(text).cast("string").alias("text"))
-    gone = recurring_templates(plain, min_texts).groupBy("text_hash").agg(F.collect_set("template").alias("llm_gone"))
+    gone = recurring_templates(plain, min_texts, min_long_texts).groupBy("text_hash").agg(F.collect_set("template").alias("llm_gone"))
     # ordinary join on the text: copies of one text may be many rows, which the runtime can split
     joined = rows.join(gone.withColumnRenamed("text_hash", "llm_text_hash"), "llm_text_hash", "left")
     lines = F.split(col(text).cast("string"), "\n")

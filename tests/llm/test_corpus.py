@@ -46,6 +46,20 @@ def test_one_half_of_a_template_may_vary(spark):
     assert line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("dropped_lines = 1").count() == 3
 
 
+def line_stage(spark, folder, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.text for r in corpus_pipeline.without_recurring_lines(spark, docs, folder).collect()}
+
+
+def test_job_drops_long_lines_of_two_texts(spark, folder):
+    passage = " ".join(f"{w}ing" for w in "abcdefghijklmnopqrst")
+    varied = passage.replace("king", "other")
+    texts = [f"first own line\n{passage}", f"second own line\n{passage}", f"third own line\n{varied.replace('ting', 'end')}", "four tokens stand here", "four tokens stand here\nx"]
+    got = line_stage(spark, folder, texts)
+    assert got[0] == texts[0] and got[1] == "second own line"
+    assert [got[i] for i in (2, 3, 4)] == texts[2:]
+
+
 def test_awkward_lines(odd, nothing):
     rows = line_templates.drop_recurring_lines(odd).collect()
     assert len(rows) == odd.count() and rows[0].asDict().keys() == set(odd.columns)
