@@ -34,9 +34,9 @@ def readable(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines whose template recurs; `n_chars` follows the text.
 
-    A long line goes from two different texts on.
+    A long line goes from two different texts on, and any line that recurs word for word.
     """
-    cleaned = line_templates.drop_recurring_lines(docs, min_long_texts=line_templates.MIN_LONG_TEXTS)
+    cleaned = line_templates.drop_recurring_lines(docs, min_long_texts=line_templates.MIN_LONG_TEXTS, verbatim=True)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("dropped_lines") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

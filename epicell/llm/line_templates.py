@@ -23,6 +23,8 @@ MIN_VARIED_TOKENS = 16
 MIN_TEXTS = 3
 # a whole line of MIN_VARIED_TOKENS tokens or more says enough to recur in two texts, where that is asked for
 MIN_LONG_TEXTS = 2
+# so does a line without generalised keys from so many characters on: it may be of a script without blanks
+LONG_CHARS = 100
 FIELD = "<*>"
 BLANKS = " \t\r"
 
@@ -63,6 +65,17 @@ def template_keys(text: Column, n: Column) -> Column:
     )
 
 
+def verbatim_key(line: Column, n: Column, keys: Column) -> Column:
+    """The keys of a bare line; one that has none and is not empty gets a key of its own words, fields not replaced.
+
+    Where there are keys, the one of the whole line already meets every verbatim repeat.
+    """
+    long = (n >= MIN_VARIED_TOKENS) | (F.length(line) >= LONG_CHARS)
+    exact = F.xxhash64(F.lit(3), line)
+    exact = F.when(long, exact.bitwiseOR(F.lit(1))).otherwise(exact.bitwiseAND(F.lit(-2)))
+    return F.when((F.size(keys) == 0) & (line != ""), F.array(exact)).otherwise(keys)
+
+
 def _before(text: Column, tokens: Column) -> Column:
     return F.call_function("substring_index", text, F.lit(" "), tokens.cast("int"))
 
@@ -71,7 +84,9 @@ def _after(text: Column, tokens: Column) -> Column:
     return F.call_function("substring_index", text, F.lit(" "), (-tokens).cast("int"))
 
 
-def recurring_templates(texts: DataFrame, min_texts: int = MIN_TEXTS, min_long_texts: int | None = None) -> DataFrame:
+def recurring_templates(
+    texts: DataFrame, min_texts: int = MIN_TEXTS, min_long_texts: int | None = None, verbatim: bool = False
+) -> DataFrame:
     """(template, text_hash): where recurring templates have to go, from (key, text_hash, text).
 
     Texts are counted, not rows: copies of a document are one text. Of each recurring template the text
@@ -82,9 +97,13 @@ def recurring_templates(texts: DataFrame, min_texts: int = MIN_TEXTS, min_long_t
     # explode() would have Spark test the size of the array first, and compute it all a second time;
     # columns come one after the other, so that each is computed once for a line
     lines = texts.select("key", "text_hash", F.explode_outer(F.split("text", "\n")).alias("line"))
-    lines = lines.withColumn("line", bare(F.col("line"))).withColumn("line", masked(F.col("line")))
-    lines = lines.withColumn("n", token_count(F.col("line"))).where(F.col("n") >= MIN_TOKENS)
+    lines = lines.withColumn("bare", bare(F.col("line"))).withColumn("line", masked(F.col("bare")))
+    lines = lines.withColumn("n", token_count(F.col("line")))
+    if not verbatim:
+        lines = lines.where(F.col("n") >= MIN_TOKENS)
     keyed = lines.withColumn("templates", template_keys(F.col("line"), F.col("n")))
+    if verbatim:
+        keyed = keyed.withColumn("templates", verbatim_key(F.col("bare"), F.col("n"), F.col("templates")))
     keys = keyed.select("key", "text_hash", F.explode_outer("templates").alias("template")).where(F.col("template").isNotNull())
     held = settle(keys.groupBy("template", "text_hash").agg(F.min("key").alias("first")), "templates")
     long = F.col("template").bitwiseAND(F.lit(1)) == 1
@@ -95,7 +114,12 @@ def recurring_templates(texts: DataFrame, min_texts: int = MIN_TEXTS, min_long_t
 
 
 def drop_recurring_lines(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", min_texts: int = MIN_TEXTS, min_long_texts: int | None = None
+    documents: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    min_texts: int = MIN_TEXTS,
+    min_long_texts: int | None = None,
+    verbatim: bool = False,
 ) -> DataFrame:
     """All rows and columns, lines of recurring templates taken out of `text`, and `dropped_lines`.
 
@@ -108,14 +132,15 @@ def drop_recurring_lines(
     names = [c for c in documents.columns if c != "dropped_lines"]
     rows = documents.select(*[col(c) for c in names], F.xxhash64(col(text).cast("string")).alias("llm_text_hash"))
     plain = rows.where(col(text).isNotNull()).select(col(key).alias("key"), F.col("llm_text_hash").alias("text_hash"), col(text).cast("string").alias("text"))
-    gone = recurring_templates(plain, min_texts, min_long_texts).groupBy("text_hash").agg(F.collect_set("template").alias("llm_gone"))
+    gone = recurring_templates(plain, min_texts, min_long_texts, verbatim).groupBy("text_hash").agg(F.collect_set("template").alias("llm_gone"))
     # ordinary join on the text: copies of one text may be many rows, which the runtime can split
     joined = rows.join(gone.withColumnRenamed("text_hash", "llm_text_hash"), "llm_text_hash", "left")
     lines = F.split(col(text).cast("string"), "\n")
     # step by step over all lines, so that nothing is computed twice for a line
-    prepared = F.transform(F.transform(lines, bare), masked)
-    counted = F.transform(prepared, lambda m: F.struct(m.alias("m"), token_count(m).alias("n")))
-    keys = F.transform(counted, lambda x: template_keys(x["m"], x["n"]))
+    prepared = F.transform(F.transform(lines, bare), lambda b: F.struct(b.alias("b"), masked(b).alias("m")))
+    counted = F.transform(prepared, lambda x: F.struct(x["b"].alias("b"), x["m"].alias("m"), token_count(x["m"]).alias("n")))
+    keys = F.transform(counted, lambda x: F.struct(x["b"].alias("b"), x["n"].alias("n"), template_keys(x["m"], x["n"]).alias("k")))
+    keys = F.transform(keys, lambda x: verbatim_key(x["b"], x["n"], x["k"]) if verbatim else x["k"])
     kept = F.zip_with(lines, keys, lambda line, k: F.when(~F.coalesce(F.arrays_overlap(k, F.col("llm_gone")), F.lit(False)), line))
     joined = joined.withColumn("llm_kept", F.when(F.col("llm_gone").isNotNull(), F.array_compact(kept)))
     changed = F.when(F.col("llm_kept").isNotNull(), F.array_join("llm_kept", "\n")).otherwise(col(text))

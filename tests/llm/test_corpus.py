@@ -60,6 +60,17 @@ def test_job_drops_long_lines_of_two_texts(spark, folder):
     assert [got[i] for i in (2, 3, 4)] == texts[2:]
 
 
+def test_job_drops_verbatim_repeats_of_any_form(spark, folder):
+    repeats = ["All rights reserved.", "17 18 19 20 total", "文" * 20, "}"]
+    texts = [f"own line of text {w}\n" + "\n\n".join(repeats) for w in ("one", "two", "three")]
+    long = "字" * 120
+    texts += [f"just two of these\n{long}", f"two of these again\n{long}", "Short line\nonce", "Short line\ntwice"]
+    got = line_stage(spark, folder, texts)
+    assert got[0] == texts[0] and got[3] == texts[3] and got[4] == "two of these again"
+    assert [got[i] for i in (1, 2)] == [f"own line of text {w}\n\n\n" for w in ("two", "three")]
+    assert [got[i] for i in (5, 6)] == texts[5:]
+
+
 def test_awkward_lines(odd, nothing):
     rows = line_templates.drop_recurring_lines(odd).collect()
     assert len(rows) == odd.count() and rows[0].asDict().keys() == set(odd.columns)
