@@ -134,9 +134,11 @@ SIGNED = [("text_id", T.BinaryType()), ("shingles", T.IntegerType()), ("signatur
 def sign_texts(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text_hash, text_id, shingles, signature) of every row.
 
-    `text_id` stands for the set of shingles: equal for texts with equal sets, NULL for a text without words.
+    `text_id` stands for the set of shingles: equal for texts with equal sets. A text without words has no
+    signature, and its `text_id` stands for the text itself; that of a NULL text is NULL.
     """
-    source = documents.select(col(key).alias("key"), F.xxhash64(col(text).cast("string")).alias("text_hash"), col(text).cast("string").alias("text"))
+    body = col(text).cast("string")
+    source = documents.select(col(key).alias("key"), F.xxhash64(body).alias("text_hash"), body.isNotNull().alias("known"), body.alias("text"))
 
     def start() -> Callable[[list[str]], dict[str, object]]:
         shingler = Shingler()
@@ -152,7 +154,9 @@ def sign_texts(documents: DataFrame, key: str, text: str) -> DataFrame:
 
         return step
 
-    return map_texts(source, "text", ["key", "text_hash"], SIGNED, start)
+    signed = map_texts(source, "text", ["key", "text_hash", "known"], SIGNED, start)
+    itself = F.concat(F.lit("wordless "), F.col("text_hash").cast("string")).cast("binary")
+    return signed.withColumn("text_id", F.coalesce("text_id", F.when(F.col("known"), itself))).drop("known")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -364,10 +368,13 @@ def verified_links(rows: DataFrame) -> DataFrame:
 
 
 def _text_classes(signed: DataFrame, documents: DataFrame, text: str) -> DataFrame:
-    """(text_id, class, n_links, n_linked_texts, keeper) of every text; keeper is the least document of the class."""
+    """(text_id, keeper, n_links, n_linked_texts) of every text; keeper is the least document of the class.
+
+    Texts without words are classes of exact copies, without links.
+    """
     least = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "text_hash"))
     texts = settle(
-        signed.where(F.col("text_id").isNotNull())
+        signed.where(F.col("signature").isNotNull())
         .groupBy("text_id")
         .agg(F.count(F.lit(1)).alias("copies"), least.alias("least"), F.first("signature").alias("signature"), F.min("text_hash").alias("text_hash")),
         "texts",
@@ -390,12 +397,15 @@ def _text_classes(signed: DataFrame, documents: DataFrame, text: str) -> DataFra
     )
     joined = settle(joined, "classes")
     keepers = joined.groupBy("class").agg(F.min("least").alias("keeper"))
-    return joined.join(keepers, "class").select(
+    wordy = joined.join(keepers, "class").select(
         "text_id",
         "keeper",
         (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_linked_texts"),
     )
+    wordless = signed.where(F.col("signature").isNull() & F.col("text_id").isNotNull()).groupBy("text_id").agg(least.alias("keeper"))
+    nothing = F.lit(0).cast("long")
+    return wordy.unionByName(wordless.select("text_id", "keeper", nothing.alias("n_links"), nothing.alias("n_linked_texts")))
 
 
 def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -407,8 +417,8 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
     sets once. A class is what links join, directly or over others; its id is its smallest key, NULL keys
     last.
 
-    A text with fewer than WORDS words is one shingle of all of them. A NULL text and one without words have
-    no links and their own key as class. Rows with equal keys count as documents of their own. Other columns
+    A text with fewer than WORDS words is one shingle of all of them. A text without words has no shingles and no
+    links; exact copies of it are one class. A NULL text has no links and its own key as class. Rows with equal keys count as documents of their own. Other columns
     are not used; an empty table gives no rows. Links found are exact; one is missed with the probability that no band
     agrees (3e-6 at the threshold, less above) or that the pruning errs (TOLERANCE a step).
     """
@@ -427,8 +437,8 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
 def keep_one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `documents` without near duplicates: of each class the document with the smallest key stays.
 
-    Rows with the same key and text are one document and stay once. NULL texts and texts without words are
-    in no class and stay.
+    Rows with the same key and text are one document and stay once. Of exact copies of a text without words one
+    stays. NULL texts are in no class and stay.
     """
     signed = settle(sign_texts(documents, key, text), "signatures")
     classes = _text_classes(signed, documents, text)

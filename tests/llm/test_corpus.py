@@ -133,6 +133,14 @@ def test_links_equal_brute_force(spark, monkeypatch, tile):
     assert sorted(k for k in kept if k >= 900) == [900, 901, 902, 904, 905]
 
 
+def test_copies_without_words_are_one_class(spark):
+    texts = ["", "?!", "", None, "?!", "", None, " ?!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.link_documents(df).collect()}
+    assert got == {i: (c, 0) for i, c in enumerate([0, 1, 0, 3, 1, 0, 6, 7])}
+    assert sorted(r.doc_id for r in ngram_join.keep_one_of_each(df).collect()) == [0, 1, 3, 6, 7]
+
+
 def test_near_duplicates_of_awkward_rows(odd, nothing):
     assert ngram_join.link_documents(odd).count() == odd.count()
     kept = ngram_join.keep_one_of_each(odd)
