@@ -120,30 +120,27 @@ def _(t):
     return dataset(t).select("event_id", "event_us", "count_90d")
 
 
-QUICK = {"maxIter": 5, "maxDepth": 3}
-
-
 @check("train_horizon_models")
 def _(t):
     df = splits.split_by_year(dataset(t).drop("split"))
-    return training.train_horizon_models(df, ["label_7d", "label_30d"], QUICK)[1]
+    return training.train_horizon_models(df)[1]
 
 
 @check("train_compact")
 def _(t):
     selected = [*serving.FORCE_KEEP, "elapsed_since_last_s"]
-    return training.train_compact(dataset(t), "label_7d", selected, QUICK)[1]
+    return training.train_compact(dataset(t), "label_7d", selected)[1]
 
 
 @check("feature_ablation")
 def _(t):
-    return training.feature_ablation(dataset(t), "label_30d", QUICK)
+    return training.feature_ablation(dataset(t), "label_30d")
 
 
 @check("feature_importance")
 def _(t):
     rows, kept, _ = training.prepare(dataset(t), "label_7d", training.feature_names(dataset(t)))
-    return training.feature_importance(training.fit_trees(rows, "label_7d", kept, QUICK))
+    return training.feature_importance(training.fit_trees(rows, "label_7d", kept, training.BEST_PARAMS["label_7d"]))
 
 
 REGRESSION_FEATURES = ["latitude", "longitude", "depth", "mag_type_enc", "count_30d", "elapsed_since_last_s"]
@@ -152,24 +149,24 @@ REGRESSION_FEATURES = ["latitude", "longitude", "depth", "mag_type_enc", "count_
 @check("compare_regressors")
 def _(t):
     df = splits.split_year_ranges(dataset(t).drop("split"))
-    return training.compare_regressors(df, "magnitude", REGRESSION_FEATURES, trees=10)
+    return training.compare_regressors(df, "magnitude", REGRESSION_FEATURES)
 
 
 @check("compare_classifiers")
 def _(t):
     df = splits.split_year_ranges(dataset(t).drop("split")).withColumn("dangerous", (F.col("magnitude") >= 6).cast("int"))
-    return training.compare_classifiers(df, "dangerous", REGRESSION_FEATURES, trees=10)
+    return training.compare_classifiers(df, "dangerous", REGRESSION_FEATURES)
 
 
 @check("hyperparameter_search")
 def _(t):
-    return training.hyperparameter_search(dataset(t), "label_7d", trials=3, threads=3, fixed=QUICK)
+    return training.hyperparameter_search(dataset(t), "label_7d")
 
 
 @check("score_batch_model")
 def _(t):
     df = dataset(t)
-    models = training.fit_live_models(df, TRAINED_COLUMNS, hidden=(8,), max_iter=10)
-    return score_batch(df.where("split = 'test'"), model_scorer(models))
+    models = training.fit_live_models(df, TRAINED_COLUMNS)
+    return score_batch(df, model_scorer(models))
 
 

@@ -1,0 +1,88 @@
+"""The registered model queries ask for the whole job: the operators' defaults, or the tuned parameters."""
+
+import inspect
+
+import pytest
+
+import checks
+from epicell.plans import training
+from epicell.plans.columns import LABEL_COLUMNS
+
+checks.load()
+
+OPERATORS = {
+    "train_horizon_models": ({"horizons": LABEL_COLUMNS, "params": None}, ({}, "report")),
+    "train_compact": ({"params": None}, ({}, "report")),
+    "feature_ablation": ({"params": None}, "report"),
+    "compare_regressors": ({"trees": 100}, "report"),
+    "compare_classifiers": ({"trees": 100}, "report"),
+    "hyperparameter_search": ({"trials": 20, "fixed": None}, "report"),
+}
+
+
+class Frame:
+    """Takes any call of a frame, and remembers filters."""
+
+    def __init__(self):
+        self.filters = []
+
+    def where(self, condition):
+        self.filters.append(condition)
+        return self
+
+    def __getattr__(self, name):
+        return lambda *args, **kwargs: self
+
+
+@pytest.fixture
+def frame(monkeypatch):
+    frame = Frame()
+    module = inspect.getmodule(inspect.unwrap(_body("train_compact")))
+    monkeypatch.setattr(module, "dataset", lambda t: frame)
+    monkeypatch.setattr(module.splits, "split_by_year", lambda df: df)
+    monkeypatch.setattr(module.splits, "split_year_ranges", lambda df: df)
+    return frame
+
+
+def _body(name):
+    """The registered function itself, under what the registry wraps around it."""
+    query = checks.QUERIES[name]
+    while query.__module__ != "checks.training":
+        query = next(c.cell_contents for c in query.__closure__ if callable(c.cell_contents))
+    return query
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_defaults_are_registered(spark, frame, monkeypatch, name):
+    wanted, result = OPERATORS[name]
+    signature, asked = inspect.signature(getattr(training, name)), {}
+
+    def record(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        asked.update(bound.arguments)
+        return result
+
+    monkeypatch.setattr(training, name, record)
+    _body(name)(None)
+    assert {k: asked[k] for k in wanted} == wanted
+
+
+def test_importance_is_of_the_tuned_trees(frame, monkeypatch):
+    asked = []
+    monkeypatch.setattr(training, "prepare", lambda *a: (frame, [], {}))
+    monkeypatch.setattr(training, "feature_names", lambda df: [])
+    monkeypatch.setattr(training, "fit_trees", lambda rows, label, kept, params: asked.append((label, params)))
+    monkeypatch.setattr(training, "feature_importance", lambda model: model)
+    _body("feature_importance")(None)
+    assert asked == [("label_7d", training.BEST_PARAMS["label_7d"])]
+
+
+def test_all_rows_are_scored_by_whole_models(frame, monkeypatch):
+    body, asked = _body("score_batch_model"), []
+    module = inspect.getmodule(body)
+    monkeypatch.setattr(training, "fit_live_models", lambda df, columns, **smaller: asked.append(smaller))
+    monkeypatch.setattr(module, "model_scorer", lambda models: None)
+    monkeypatch.setattr(module, "score_batch", lambda df, scorer: asked.append(df))
+    body(None)
+    assert asked == [{}, frame] and frame.filters == []
