@@ -105,8 +105,8 @@ def labelled_sample(
     """A bounded sample of labelled texts for a fit, and the number of labelled keys of each label.
 
     Of each label about `per_label` keys, 2 * per_label at most, evenly by a hash of the key, with
-    texts of at most `max_chars` characters. The texts are never shuffled: the sampled keys are a
-    table of bounded size, so it is broadcast to the scan of the documents.
+    texts of at most `max_chars` characters. The sampled keys are a table of bounded size, so it is broadcast
+    to the scan of the documents. Of the texts of a key the least is taken, before anything goes to the driver.
     """
     known = labels.where(col(label).isNotNull() & col(key).isNotNull()).groupBy(col(key)).agg(F.max(col(label)).alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -118,5 +118,6 @@ def labelled_sample(
     if chosen is None:
         return [], {}
     texts = documents.select(col(key), col(text).alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(chosen), key).select(col(key).alias("key"), "text", "label").collect()
+    found = texts.join(F.broadcast(chosen), key).select(col(key).alias("key"), "text", "label")
+    rows = found.groupBy("key", "label").agg(F.min("text").alias("text")).select("key", "text", "label").collect()
     return sorted(rows, key=lambda r: (str(r["key"]), r["text"])), counts

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from epicell.llm import byte_cnn, quality, toxicity
+from epicell.llm.common import labelled_sample
 
 
 def brute_marginals(scores, start, moves):
@@ -113,3 +114,11 @@ def test_held_out_accuracy(spark, kind):
     run = queries.op1_toxicity if kind == "toxic" else queries.op2_quality
     rows = run(spark, folder).where("held_out").join(labels, "doc_id").selectExpr(f"avg(cast(predicted = {kind} as int)) as a").first()
     assert rows.a > 0.97
+
+
+def test_sample_has_one_text_of_a_key(spark):
+    rows = [(1, f"text {i}") for i in range(50)] + [(2, "b"), (3, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    found, counts = labelled_sample(documents, labels, "toxic", 5, 100)
+    assert [tuple(r) for r in found] == [(1, "text 0", 1), (2, "b", 0)] and counts == {1: 1, 0: 2}
