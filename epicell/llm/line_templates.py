@@ -56,12 +56,10 @@ def template_keys(text: Column, n: Column) -> Column:
     first_varies = F.xxhash64(F.lit(1), n, F.substring_index(text, " ", LEADING), _after(text, n - LEADING - half))
     second_varies = F.xxhash64(F.lit(2), n, _before(text, half + LEADING))
     # the lowest bit tells whole long lines apart, which may need fewer texts
-    whole = F.when(n >= MIN_VARIED_TOKENS, whole.bitwiseOR(F.lit(1))).otherwise(whole.bitwiseAND(F.lit(-2)))
-    first_varies, second_varies = first_varies.bitwiseAND(F.lit(-2)), second_varies.bitwiseAND(F.lit(-2))
     return (
         F.when((n < MIN_TOKENS) | (fields * 2 > n), F.array().cast("array<bigint>"))
-        .when(n < MIN_VARIED_TOKENS, F.array(whole))
-        .otherwise(F.array(whole, first_varies, second_varies))
+        .when(n < MIN_VARIED_TOKENS, F.array(whole.bitwiseAND(F.lit(-2))))
+        .otherwise(F.array(whole.bitwiseOR(F.lit(1)), first_varies.bitwiseAND(F.lit(-2)), second_varies.bitwiseAND(F.lit(-2))))
     )
 
 
