@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,8 +82,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            sizes = batch.column(at)
-            lengths = [len(v.as_buffer()) if v.is_valid else 0 for v in sizes]
+            lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
             for lo, hi in text_slices(lengths):
                 part = batch.slice(lo, hi - lo)
                 new = step([t or "" for t in part.column(at).to_pylist()])

@@ -10,12 +10,27 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epicell.llm import bit_slices, byte_cnn, lexicon_bpe, line_templates, ngram_join, packing, quality, rotated_codes, toxicity, warc
+from epicell.llm import (
+    bit_slices,
+    byte_cnn,
+    importance,
+    lexicon_bpe,
+    line_templates,
+    ngram_join,
+    packing,
+    periodic_runs,
+    quality,
+    rotated_codes,
+    sentence_pieces,
+    toxicity,
+    warc,
+)
 from epicell.llm.bpe import Vocabulary
 from epicell.llm.common import remainder, ship_package
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -103,7 +118,77 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_rotated_codes, op4_lexicon_bpe, op5_language, op6_line_templates, op7_ngram_join, op8_packing, op9_bit_slices, op10_warc)}
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path(PIECE_MODEL)
+    encoded = sentence_pieces.encode(table(spark, folder, "documents"), model, keep=["doc_id"])
+    return sentence_pieces.decode(encoded, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def repeat_tail(text: Column, key: Column) -> Column:
+    """The text with a periodic tail for every tenth key: from word a on, its first p words are repeated.
+
+    With h the crc32 of the key as text, g = floor(h / 10) and n words: a = g mod n and p = 1 + floor((n - a) / (3 + g mod 8)), where
+    h mod 10 is 0 and n > 0. Other texts, and those of NULL keys, stay as they are.
+    """
+    words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
+    h = F.crc32(key.cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size(words)
+    a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    copies = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), copies)), F.lit(1), n - a)
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+    return F.when((h % 10 == 0) & (n > 0), planted).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    planted = documents.select("doc_id", repeat_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.find_runs(planted, keep=["doc_id"])
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("rest"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    length, period = -F.col("best.rest"), F.col("best.period")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_quality,
+        op3_rotated_codes,
+        op4_lexicon_bpe,
+        op5_language,
+        op6_line_templates,
+        op7_ngram_join,
+        op8_packing,
+        op9_bit_slices,
+        op10_warc,
+        op11_importance,
+        op12_sentence_pieces,
+        op13_periodic_runs,
+    )
+}
 
 OP9_SQL = """
 WITH v AS (
