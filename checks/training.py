@@ -139,8 +139,8 @@ def _(t):
 
 @check("feature_importance")
 def _(t):
-    rows, kept, _ = training.prepare(dataset(t), "label_7d", training.feature_names(dataset(t)))
-    return training.feature_importance(training.fit_trees(rows, "label_7d", kept, training.BEST_PARAMS["label_7d"]))
+    model, _ = training.train_compact(dataset(t), "label_7d", training.feature_names(dataset(t)))
+    return training.feature_importance(model)
 
 
 REGRESSION_FEATURES = ["latitude", "longitude", "depth", "mag_type_enc", "count_30d", "elapsed_since_last_s"]
