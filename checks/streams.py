@@ -11,7 +11,8 @@ from checks.training import geology
 from epicell.fixtures import with_views
 from epicell.session import shared_dir
 from epicell.sources.geojson import write_event_docs
-from epicell.sources.tables import KeyedTable, Snapshots
+from epicell.sources.keyed import KeyedTable
+from epicell.sources.tables import Snapshots
 from epicell.streaming.catalog import stream_dedup, stream_ingest_events, stream_rolling_catalog
 from epicell.streaming.serving import HealthJob, OutcomeJob, ScoringJob, read_log
 

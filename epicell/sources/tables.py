@@ -1,9 +1,8 @@
-"""Writers: partitioned data sets, the append-only log, tables kept by key."""
+"""Writers: partitioned data sets, the append-only log, snapshots."""
 
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +12,6 @@ from pyspark.sql import types as T
 from epicell.constants import SERVING_DEFAULTS
 from epicell.operators.shape import pick_last
 
-KEY_BUCKETS = 64
-
 
 def write_dataset(
     df: DataFrame, path: str, partition_cols: Sequence[str] = (), fmt: str = "parquet", mode: str = "errorifexists"
@@ -117,42 +114,3 @@ class Snapshots:
         fs, _ = _fs(self.spark, self.path)
         for old in self.numbers()[:-keep]:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={old}"), True)
-
-
-class KeyedTable:
-    """A table with one row per key, laid out in key buckets so a batch rewrites only the
-    buckets it touches. New bucket contents are staged first, so a failed job loses nothing."""
-
-    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = KEY_BUCKETS):
-        self.spark = spark
-        self.path = path.rstrip("/")
-        self.key = key
-        self.buckets = buckets
-
-    def exists(self) -> bool:
-        fs, root = _fs(self.spark, f"{self.path}/table")
-        return fs.exists(root)
-
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/table").drop("key_bucket") if self.exists() else None
-
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("key_bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
-
-    def merge(self, batch: DataFrame, latest_by: Sequence[str]) -> None:
-        fresh = self._bucketed(batch).withColumn("is_new", F.lit(1))
-        if self.exists():
-            # bounded by the number of buckets
-            touched = [row[0] for row in fresh.select("key_bucket").distinct().collect()]
-            old = self.spark.read.parquet(f"{self.path}/table").where(F.col("key_bucket").isin(touched))
-            fresh = old.withColumn("is_new", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
-        order = [F.col(c) for c in latest_by] + [F.col("is_new")]
-        merged = pick_last(fresh, ["key_bucket", self.key], order).drop("is_new")
-        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
-        merged.write.parquet(staged)
-        rows = self.spark.read.schema(merged.schema).parquet(staged)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket").parquet(
-            f"{self.path}/table"
-        )
-        fs, where = _fs(self.spark, staged)
-        fs.delete(where, True)

@@ -17,7 +17,8 @@ from epicell.operators.shape import pick_last
 from epicell.plans.features import Geology, compute_features
 from epicell.plans.scoring import score_batch
 from epicell.session import scratch, settle
-from epicell.sources.tables import KeyedTable, _fs, add_serving_metadata, append_prediction_log, serving_metadata
+from epicell.sources.keyed import KeyedTable
+from epicell.sources.tables import _fs, add_serving_metadata, append_prediction_log, serving_metadata
 
 
 def _run(stream: DataFrame, step, checkpoint: str, available_now: bool) -> StreamingQuery:

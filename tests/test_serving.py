@@ -10,7 +10,8 @@ from epicell.operators.windows import window_features
 from epicell.session import shared_dir, size_shuffles
 from epicell.sources.catalogs import read_catalog_any
 from epicell.sources.geojson import parse_geojson_events
-from epicell.sources.tables import KeyedTable, Snapshots, serving_metadata
+from epicell.sources.keyed import KeyedTable
+from epicell.sources.tables import Snapshots, serving_metadata
 
 PUBLIC_KEYS = set(
     "event_id event_us latitude longitude depth magnitude prob_7d prob_30d prob_365d risk_7d risk_30d risk_365d"
