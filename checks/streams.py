@@ -12,8 +12,7 @@ from epicell.fixtures import with_views
 from epicell.session import shared_dir
 from epicell.sources.geojson import write_event_docs
 from epicell.sources.keyed import KeyedTable
-from epicell.sources.tables import Snapshots
-from epicell.streaming.catalog import stream_dedup, stream_ingest_events, stream_rolling_catalog
+from epicell.streaming.catalog import rolling_rows, stream_dedup, stream_ingest_events, stream_rolling_catalog
 from epicell.streaming.serving import HealthJob, OutcomeJob, ScoringJob, read_log
 
 WC = with_views("catalog")
@@ -63,13 +62,13 @@ def _(t):
 )
 def _(t):
     path, state = shared_dir(t.spark, "polls"), shared_dir(t.spark, "rolling-state")
-    table = Snapshots(t.spark, shared_dir(t.spark, "rolling"))
+    table = KeyedTable(t.spark, shared_dir(t.spark, "rolling"), "event_id", buckets=4)
     for again in (False, True):
         poll(t, path, again)
         # the same query, started again after its input has grown
         events = stream_ingest_events(t.spark, path, one_per_line=True)
         stream_rolling_catalog(events, table, state).awaitTermination()
-    return table.read().select("event_id", "event_us", "magnitude")
+    return rolling_rows(table).select("event_id", "event_us", "magnitude")
 
 
 TOP = "(SELECT max(event_us) FROM catalog)"
@@ -87,12 +86,14 @@ def keyed_events(t):
 
 
 def event_stream(t, parts: int = 2):
-    """All events as a stream of a few files, one file per trigger."""
+    """All events as a stream that takes `parts` triggers."""
     path = shared_dir(t.spark, "events")
     rows = keyed_events(t)
     for k in range(parts):
-        rows.where(F.abs(F.hash("event_id")) % parts == k).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(t.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(F.abs(F.hash("event_id")) % parts == k).write.mode("append").parquet(path)
+    files = len(t.spark.read.parquet(path).inputFiles())
+    per_trigger = max(1, -(-files // parts))
+    return t.spark.readStream.schema(t.spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
 @check(
@@ -133,15 +134,16 @@ def outcome_sql(h: int) -> str:
 )
 def _(t):
     now = t.catalog.agg(F.max("event_us")).first()[0]
-    outcomes = KeyedTable(t.spark, shared_dir(t.spark, "outcomes"), "prediction_id", buckets=4)
-    clock = {"now": now - 20 * DAY}
-    job = OutcomeJob(t.spark, lambda: t.catalog, outcomes, lambda: clock["now"])
+    outcomes = KeyedTable(t.spark, shared_dir(t.spark, "outcomes"), "outcome_id", buckets=4)
     log = event_stream(t).withColumn("prediction_id", F.concat(F.lit("p"), "event_id"))
-    job.start(log, shared_dir(t.spark, "outcome-state")).awaitTermination()
-    # time passes without new predictions: what is due now is filled, the rest stays open
-    clock["now"] = now
-    job(keyed_events(t).where("1 = 0").withColumn("prediction_id", F.lit("p")), 99)
-    return outcomes.read().select("event_id", "label_7d", "label_30d")
+    told, state = shared_dir(t.spark, "ticks"), shared_dir(t.spark, "outcome-state")
+    job = OutcomeJob(t.spark, lambda: t.catalog, outcomes, lambda: now)
+    # the predictions come 20 days before now; then the query is started again, and time passes without any
+    for at in (now - 20 * DAY, now):
+        t.spark.range(1).select(F.lit(at).cast("bigint").alias("now_us")).coalesce(1).write.mode("append").parquet(told)
+        ticks = t.spark.readStream.schema("now_us long").parquet(told)
+        job.start(log, state, ticks, F.timestamp_micros(F.lit(now - 20 * DAY))).awaitTermination()
+    return job.read().select("event_id", "label_7d", "label_30d")
 
 
 @check(

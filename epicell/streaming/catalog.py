@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from epicell.constants import DAY_US, MIN_MAG_ROLLING, ROLLING_DAYS
-from epicell.operators.shape import pick_last
 from epicell.sources.geojson import EVENT_SCHEMA, clean_feed, feature_events
-from epicell.sources.tables import Snapshots
+from epicell.sources.keyed import KeyedTable
+from epicell.streaming.state import GONE, last_arrivals
+
+# how far beyond the window a revision may move an event
+REVISION_DAYS = 30
 
 
 def stream_ingest_events(
@@ -39,40 +40,35 @@ def stream_dedup(events: DataFrame, overlap: str = "2 days") -> DataFrame:
     return arrived.withWatermark("arrived", overlap).dropDuplicatesWithinWatermark(["event_id"]).drop("arrived")
 
 
-def roll(previous: DataFrame | None, batch: DataFrame, batch_no: int, now_us: int | None, days: int = ROLLING_DAYS) -> DataFrame:
-    """Previous and new rows, the last arrival per event, the last `days` days, M >= 2.
+def rolling_rows(table: KeyedTable, now_us: int | None = None, days: int = ROLLING_DAYS) -> DataFrame | None:
+    """The last arrival of every event of the last `days` days, M >= 2.
 
     Without `now_us` the newest event is now, which makes a replay of old files meaningful.
     """
-    fresh = batch.withColumn("arrival", F.lit(batch_no).cast("bigint"))
-    both = fresh if previous is None else previous.unionByName(fresh)
-    # an event that comes twice in one poll: the later origin time, then the larger magnitude
-    latest = pick_last(both, ["event_id"], [F.col("arrival"), F.col("event_us"), F.col("magnitude")])
-    end = F.lit(now_us) if now_us is not None else both.agg(F.max("event_us").alias("m")).scalar()
-    kept = latest.withColumn("end_us", end)
+    rows = table.read()
+    if rows is None:
+        return None
+    end = F.lit(now_us) if now_us is not None else rows.agg(F.max("event_us").alias("m")).scalar()
+    kept = rows.withColumn("end_us", end)
     in_time = F.col("event_us").between(F.col("end_us") - days * DAY_US, F.col("end_us"))
     return kept.where(in_time & (F.col("magnitude") >= MIN_MAG_ROLLING)).drop("end_us")
 
 
 def stream_rolling_catalog(
-    events: DataFrame,
-    table: Snapshots,
-    checkpoint: str,
-    now_us: Callable[[], int] | None = None,
-    days: int = ROLLING_DAYS,
-    available_now: bool = True,
+    events: DataFrame, table: KeyedTable, checkpoint: str, days: int = ROLLING_DAYS, available_now: bool = True
 ) -> StreamingQuery:
-    """Maintain the rolling catalogue; each batch writes the snapshot with its own number.
+    """Maintain the rolling catalogue in a table kept by event; `rolling_rows` reads it.
 
-    An empty result leaves the current snapshot in place.
+    Each batch adds its own rows, and removes events that the window has left behind. A revision may move an
+    event by up to REVISION_DAYS beyond the window; what is further back is ignored. A repeated batch changes nothing.
     """
 
     def write(batch: DataFrame, batch_no: int) -> None:
-        previous = table.read(below=batch_no)
-        rolled = roll(previous, batch, batch_no, now_us() if now_us else None, days)
-        if previous is not None and rolled.isEmpty():
+        if batch.isEmpty():
             return
-        table.write(rolled, batch_no)
+        arrived = batch.withColumn("arrival", F.lit(batch_no).cast("bigint"))
+        table.merge(arrived, ["arrival"], gone=F.col(GONE))
 
-    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    changes = last_arrivals(events, days + REVISION_DAYS)
+    writer = changes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 minutes")).start()

@@ -5,24 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from epicell.constants import DEFAULT_DEPTH_KM, MIN_MAG_WINDOW
 from epicell.operators.audits import freshness_alerts
 from epicell.operators.cleaning import validate_event_input
-from epicell.operators.serving import open_outcomes, pending_outcomes, resolve_outcomes, unscored_events
+from epicell.operators.followups import followup_exists
+from epicell.operators.serving import VALID_HORIZONS, unscored_events
 from epicell.operators.shape import pick_last
 from epicell.plans.features import Geology, compute_features
 from epicell.plans.scoring import score_batch
 from epicell.session import scratch, settle
 from epicell.sources.keyed import KeyedTable
 from epicell.sources.tables import _fs, add_serving_metadata, append_prediction_log, serving_metadata
+from epicell.streaming.state import DUE, OPENED, due_outcomes
 
 
-def _run(stream: DataFrame, step, checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+def _run(stream: DataFrame, step, checkpoint: str, available_now: bool, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 minutes")).start()
 
 
@@ -80,12 +82,16 @@ class ScoringJob:
         return _run(events, self, checkpoint, available_now)
 
 
+OUTCOME_KEY = "outcome_id"
+
+
 @dataclass
 class OutcomeJob:
     """Opens outcomes for newly logged predictions and fills labels whose horizon has passed.
 
-    7 and 30 days fill separately and a filled label is never looked at again. One join with
-    the catalogue answers all pending rows.
+    Every prediction has a timer for each horizon in the state of the stream, so a batch looks at what has become due
+    and at nothing else. The table has a row for each prediction and horizon; `read` puts them side by side.
+    A filled label is never looked at again.
     """
 
     spark: SparkSession
@@ -93,24 +99,48 @@ class OutcomeJob:
     outcomes: KeyedTable
     now_us: Callable[[], int]
 
-    def __call__(self, new_log: DataFrame, batch_no: int) -> None:
+    def __call__(self, rows: DataFrame, batch_no: int) -> None:
         with scratch(self.spark):
-            self.resolve(new_log)
+            self.resolve(settle(rows, "due"))
 
-    def resolve(self, new_log: DataFrame) -> None:
+    def resolve(self, rows: DataFrame) -> None:
+        if rows.isEmpty():
+            return
         now = self.now_us()
-        opened = open_outcomes(new_log)
-        known = self.outcomes.read()
-        if known is None:
-            pending = opened
-        else:
-            unseen = opened.join(known.select("prediction_id"), "prediction_id", "left_anti")
-            pending = pending_outcomes(known.drop("updated_us"), now, limit=None).unionByName(unseen)
-        resolved = resolve_outcomes(settle(pending, "pending"), self.catalog(), now)
-        self.outcomes.merge(resolved.withColumn("updated_us", F.lit(now)), ["updated_us"])
-
-    def start(self, new_log: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-        return _run(new_log, self, checkpoint, available_now)
+        kept = ["prediction_id", "event_id", "event_us", "latitude", "longitude"]
+        parts = []
+        for h in VALID_HORIZONS:
+            here = rows.where(F.col(DUE).isin(OPENED, h)).select(*kept, (F.col(DUE) == h).alias("is_due"))
+            due = here.where("is_due").select(F.col("prediction_id").alias("event_id"), "event_us", "latitude", "longitude")
+            hits = followup_exists(due, self.catalog(), int(h[:-1])).select(F.col("event_id").alias("prediction_id"), F.col("has_followup").alias("label"))
+            filled = here.where("is_due").join(hits, "prediction_id").withColumn("evaluated_us", F.lit(now).cast("bigint"))
+            opened = here.where("NOT is_due").withColumns(
+                {"label": F.lit(None).cast("boolean"), "evaluated_us": F.lit(None).cast("bigint")}
+            )
+            parts.append(filled.unionByName(opened).drop("is_due").withColumn("horizon", F.lit(h)))
+        both = parts[0]
+        for part in parts[1:]:
+            both = both.unionByName(part)
+        keyed = both.withColumn(OUTCOME_KEY, F.concat_ws("|", "horizon", "prediction_id"))
+        # an evaluated row comes after the open one
+        self.outcomes.merge(keyed.withColumn("updated_us", F.coalesce("evaluated_us", F.lit(0).cast("bigint"))), ["updated_us"])
+
+    def read(self) -> DataFrame | None:
+        """One row per prediction with the label and the instant of evaluation of every horizon."""
+        rows = self.outcomes.read()
+        if rows is None:
+            return None
+        labels = {f"{new}_{h}{end}": (old, h) for h in VALID_HORIZONS for new, old, end in (("label", "label", ""), ("evaluated", "evaluated_us", "_us"))}
+        own = [F.max(F.when(F.col("horizon") == h, F.col(old))).alias(name) for name, (old, h) in labels.items()]
+        return rows.groupBy("prediction_id", "event_id", "event_us", "latitude", "longitude").agg(*own)
+
+    def start(
+        self, new_log: DataFrame, checkpoint: str, ticks: DataFrame | None = None, seen: Column | None = None, available_now: bool = True
+    ) -> StreamingQuery:
+        """`ticks` (column `now_us`) tells the time when nothing is predicted; `seen` is the time of a logged row."""
+        arrived = F.current_timestamp() if seen is None else seen
+        due = due_outcomes(new_log, ticks, {h: int(h[:-1]) for h in VALID_HORIZONS}, arrived)
+        return _run(due, self, checkpoint, available_now, "update")
 
 
 @dataclass
