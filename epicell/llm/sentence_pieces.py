@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from epicell.llm.batch_merge import LONGEST, PairTable, merge_all
-from epicell.llm.common import map_texts, text_slices
+from epicell.llm.common import flat_lists, map_texts, text_slices
 
 REMEMBERED_STRETCHES = 600_000
 # stands for the end of a text among the stretches, none of which holds a surrogate
@@ -485,16 +485,3 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", name: str = "decode
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], schema=arrow)
 
     return source.mapInArrow(run, schema)
-
-
-def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a list column, and where each row begins; NULL numbers are left out."""
-    lists = pa.array(lists) if not isinstance(lists, pa.Array) else lists
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    values = lists.flatten()
-    if values.null_count:
-        present = values.is_valid().to_numpy(zero_copy_only=False)
-        bounds = np.concatenate([[0], np.cumsum(present)])[bounds]
-        values = values.drop_null()
-    return values.to_numpy(zero_copy_only=False), bounds
