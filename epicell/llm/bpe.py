@@ -5,6 +5,11 @@ from __future__ import annotations
 import heapq
 import json
 from dataclasses import dataclass
+from functools import cached_property
+
+import numpy as np
+
+from epicell.llm.batch_merge import LONGEST, PairTable, merge_all
 
 LONG_WORD = 32
 NO_RANK = 1 << 40
@@ -49,6 +54,39 @@ class Vocabulary:
         token_bytes |= {i: s.encode() for s, i in special.items()}
         return Vocabulary([ids[c] for c in letters], [ids[c + end] for c in letters], ranks, merged, token_bytes, special)
 
+    @cached_property
+    def pair_table(self) -> PairTable:
+        pairs = np.array(list(self.ranks), dtype=np.int64)
+        ranks = np.array(list(self.ranks.values()), dtype=np.int64)
+        return PairTable(pairs >> 20, pairs & ((1 << 20) - 1), ranks, np.array(self.merged, dtype=np.int64)[ranks])
+
+    def __getstate__(self) -> dict:
+        # the table is built again where it is used
+        return {k: v for k, v in self.__dict__.items() if k != "pair_table"}
+
+    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, end to end, and how many each has. Words of usual length are merged together."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        long = np.flatnonzero(sizes > LONGEST).tolist()
+        alone = {i: self.merge(words[i]) for i in long}
+        short = words if not long else [b"" if i in alone else w for i, w in enumerate(words)]
+        lengths = np.where(sizes > LONGEST, 0, sizes)
+        flat = np.frombuffer(b"".join(short), dtype=np.uint8)
+        symbols = np.array(self.first_ids, dtype=np.int32)[flat]
+        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        last = starts[1:][lengths > 0] - 1
+        symbols[last] = np.array(self.last_ids, dtype=np.int32)[flat[last]]
+        ids, bounds = merge_all(self.pair_table, symbols, starts)
+        if not alone:
+            return ids, np.diff(bounds)
+        parts, at = [], 0
+        counts = np.diff(bounds)
+        for i in long:
+            parts += [ids[at : bounds[i]], np.array(alone[i], dtype=np.int32)]
+            at = bounds[i]
+            counts[i] = len(alone[i])
+        return np.concatenate([*parts, ids[at:]]), counts
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word: the pair of lowest rank is merged first, of equal ones the leftmost."""
         ids = [self.first_ids[b] for b in word]

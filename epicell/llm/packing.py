@@ -5,13 +5,13 @@ from __future__ import annotations
 import bisect
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,7 +29,7 @@ OPEN_WINDOWS = 64
 MIN_CUT = 64
 # leftover windows that one merging task takes
 MERGE_WINDOWS = 1024
-REMEMBERED_WORDS = 700_000
+REMEMBERED_CHUNKS = 500_000
 
 # characters whose normal form, white space or lower case is more than a look at themselves
 ODD = re.compile("[\x1c-\x1f\x85İ]|[^\x00-\u02ff]")
@@ -58,30 +58,33 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.flat = array("I")
-        self.starts = array("q", [0])
+        self.flat = np.zeros(1 << 20, dtype=np.uint32)
+        self.starts = np.zeros(1 << 17, dtype=np.int64)
 
     def _trim(self) -> None:
         """Forget the later half: what was met first is met most."""
-        keep = len(self.known) // 2
-        self.known = dict(islice(self.known.items(), keep))
-        del self.starts[keep + 1 :], self.flat[self.starts[keep] :]
-        self.words = dict(islice(self.words.items(), len(self.words) // 2))
-
-    def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = self.vocabulary.merge(word.encode())
-        return ids
-
-    def _learn(self, chunk: str) -> int:
-        words = self.split(chunk)
-        ids = self.vocabulary.merge(chunk.encode()) if len(words) == 1 else [i for w in words for i in self._word(w)]
-        n = self.known[chunk] = len(self.known)
-        self.flat.extend(ids)
-        self.starts.append(len(self.flat))
-        return n
+        self.known = dict(islice(self.known.items(), len(self.known) // 2))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks that are new are split, their distinct words merged together, and all remembered."""
+        split = list(map(self.split, chunks))
+        flat = list(chain.from_iterable(split))
+        number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        ids, sizes = self.vocabulary.merge_words([w.encode() for w in number])
+        begin = np.cumsum(sizes) - sizes
+        at = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        new = ids[np.arange(ends[-1]) + np.repeat(begin[at] - ends[:-1], lengths)]
+        cuts = ends[np.cumsum([0, *map(len, split)])]
+        n, first = len(self.known), self.starts[len(self.known)]
+        while first + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(chunks) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[first : first + len(new)] = new
+        self.starts[n + 1 : n + 1 + len(chunks)] = first + cuts[1:]
+        self.known.update(zip(chunks, range(n, n + len(chunks))))
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -89,30 +92,27 @@ class WordEncoder:
         return not odd and "<|" not in text
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) + len(self.words) > REMEMBERED_WORDS:
+        if len(self.known) > REMEMBERED_CHUNKS:
             self._trim()
-        places, bounds, out = [], [0], {}
+        chunks: list[str] = []
+        bounds, out = [0], {}
         for i, text in enumerate(texts):
             if self.plain(text):
-                chunks = text.lower().split()
-                found = list(map(self.known.get, chunks))
-                if None in found:
-                    for j, place in enumerate(found):
-                        if place is None:
-                            chunk = chunks[j]
-                            found[j] = self.known[chunk] if chunk in self.known else self._learn(chunk)
-                places += found
+                chunks += text.lower().split()
             else:
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-            bounds.append(len(places))
+            bounds.append(len(chunks))
+        places = list(map(self.known.get, chunks))
+        if None in places:
+            self._learn(list(dict.fromkeys(c for c, place in zip(chunks, places) if place is None)))
+            places = list(map(self.known.get, chunks))
         at = np.array(places, dtype=np.int64)
-        starts = np.frombuffer(self.starts, dtype=np.int64)
-        begin = starts[at]
-        lengths = starts[at + 1] - begin
+        begin = self.starts[at]
+        lengths = self.starts[at + 1] - begin
         ends = np.cumsum(lengths)
         ids = np.zeros(0, dtype=np.uint32)
         if len(ends) and ends[-1]:
-            ids = np.frombuffer(self.flat, dtype=np.uint32)[np.arange(ends[-1]) + np.repeat(begin - (ends - lengths), lengths)]
+            ids = self.flat[np.arange(ends[-1]) + np.repeat(begin - (ends - lengths), lengths)]
         cuts = np.concatenate([[0], ends])[bounds].tolist()
         return [out[i] if i in out else ids[lo:hi] for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
 
@@ -250,23 +250,36 @@ class _Rows:
     def __init__(self, schema: pa.Schema, round_no: int):
         self.schema = schema
         self.next_id = (round_no << 58) | (TaskContext.get().partitionId() << 24)
-        self.rows: list[dict] = []
+        self.windows: list[tuple[int, bool, Window]] = []
 
     def add(self, w: Window, whole: bool) -> None:
-        pieces, offset = [], 0
-        for p in w.pieces:
-            pieces.append(
-                {"doc": p.key, "start": p.start, "length": len(p.ids), "doc_tokens": p.doc_tokens, "offset": offset}
-            )
-            offset += len(p.ids)
-        ids = np.concatenate([p.ids for p in w.pieces]).astype("<u4").tobytes()
-        self.rows.append({"sequence_id": self.next_id, "whole": whole, "n_tokens": w.used, "pieces": pieces, "ids": ids})
+        self.windows.append((self.next_id, whole, w))
         self.next_id += 1
 
     def take(self, least: int = 1) -> Iterator[pa.RecordBatch]:
-        if len(self.rows) >= least:
-            yield pa.RecordBatch.from_pylist(self.rows, schema=self.schema)
-            self.rows = []
+        if len(self.windows) < least:
+            return
+        numbers, whole, windows = zip(*self.windows)
+        pieces = [p for w in windows for p in w.pieces]
+        lengths = np.array([len(p.ids) for p in pieces], dtype=np.int64)
+        bounds = np.cumsum([0, *[len(w.pieces) for w in windows]])
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        offsets = ends[:-1] - np.repeat(ends[bounds[:-1]], np.diff(bounds))
+        item = self.schema.field("pieces").type.value_type
+        columns = [pa.array([p.key for p in pieces], item.field(0).type), np.array([p.start for p in pieces], dtype=np.int64), lengths]
+        columns += [np.array([p.doc_tokens for p in pieces], dtype=np.int64), offsets]
+        rows = pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], fields=list(item))
+        ids = np.concatenate([p.ids for p in pieces]).astype("<u4")
+        cuts = (4 * ends[bounds]).astype(np.int32)
+        arrays = [
+            pa.array(numbers, pa.int64()),
+            pa.array(whole),
+            pa.array(np.diff(ends[bounds])),
+            pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), rows, type=self.schema.field("pieces").type),
+            pa.BinaryArray.from_buffers(pa.binary(), len(windows), [None, pa.py_buffer(cuts), pa.py_buffer(ids)]),
+        ]
+        self.windows = []
+        yield pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
 def pack(
@@ -307,7 +320,7 @@ def pack(
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             texts = batch.column(1)
-            sizes = [len(v.as_buffer()) if v.is_valid else 0 for v in texts]
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for lo, hi in text_slices(sizes):
                 part = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
                 keys = batch.column(0).slice(lo, hi - lo).to_pylist()

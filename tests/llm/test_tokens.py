@@ -56,7 +56,7 @@ def test_trimming_the_memory_changes_nothing(texts, monkeypatch):
     assert [encoder.encode([t])[0].tolist() for t in texts[:300]] == want
     words = packing.WordEncoder(WORD)
     want = [x.tolist() for x in words.encode(texts[:300])]
-    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 20)
+    monkeypatch.setattr(packing, "REMEMBERED_CHUNKS", 20)
     assert [words.encode([t])[0].tolist() for t in texts[:300]] == want
 
 
