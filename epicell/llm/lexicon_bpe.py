@@ -14,9 +14,12 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from epicell.llm.bpe import Vocabulary
-from epicell.llm.common import col, map_texts, text_slices
+from epicell.llm.common import col, flat_lists, map_texts, text_slices
+from epicell.operators.order_stats import RANGE_BITS, value_key
+from epicell.session import settle
 
 # the lexicon holds so many of the commonest words; its size does not depend on the corpus
 LEXICON_WORDS = 50_000
@@ -186,7 +191,7 @@ class Lexicon:
 
     @staticmethod
     def mapped(block: bytes) -> "Lexicon":
-        """The block as a file of this task, mapped into memory; the file has no name and ends with it."""
+        """The block as a file of this worker, mapped into memory; the file has no name and ends with it."""
         with tempfile.TemporaryFile() as file:
             file.write(block)
             file.flush()
@@ -244,6 +249,12 @@ class Splitter:
         return self.special.split(text)
 
 
+def spread(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places begin[i], begin[i] + 1, ... for each i, lengths[i] of them."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - lengths), lengths)
+
+
 class Encoder:
     """Ids of texts; remembers the pieces that it has met."""
 
@@ -261,89 +272,91 @@ class Encoder:
         self.pieces = {p: at for p, at in self.pieces.items() if at < self.count}
         self.words = {w: at for w, at in self.words.items() if at < self.count}
 
-    def _add(self, ids: np.ndarray | list[int]) -> int:
-        begin = self.starts[self.count]
-        end = begin + len(ids)
-        while end > len(self.flat):
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Remember the ids of new pieces or words, and give their places."""
+        first, n = self.count, len(sizes)
+        begin = self.starts[first]
+        while begin + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if self.count + 2 > len(self.starts):
+        while first + n + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[begin:end] = ids
-        self.count += 1
-        self.starts[self.count] = end
-        return self.count - 1
+        self.flat[begin : begin + len(ids)] = ids
+        self.starts[first + 1 : first + n + 1] = begin + np.cumsum(sizes)
+        self.count += n
+        return range(first, self.count)
 
-    def _resolve(self, words: list[str]) -> list[np.ndarray | list[int]]:
-        """Ids of distinct words: the automaton's, or else merged."""
+    def _resolve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, end to end, and their numbers: the automaton's, or else merged."""
         coded = [w.encode() for w in words]
-        starts, ids = self.lexicon.starts, self.lexicon.ids
-        return [ids[starts[k] : starts[k + 1]] if k >= 0 else self.vocabulary.merge(w) for w, k in zip(coded, self.lexicon.automaton.find(coded).tolist())]
+        number = self.lexicon.automaton.find(coded)
+        known = number >= 0
+        ids, sizes = self.vocabulary.merge_words([w for w, k in zip(coded, known.tolist()) if not k])
+        lengths = np.zeros(len(words), dtype=np.int64)
+        lengths[~known] = sizes
+        begin, end = self.lexicon.starts[number[known]], self.lexicon.starts[number[known] + 1]
+        lengths[known] = end - begin
+        out = np.empty(int(lengths.sum()), dtype=np.int32)
+        of_lexicon = np.repeat(known, lengths)
+        out[~of_lexicon] = ids
+        out[of_lexicon] = self.lexicon.ids[spread(begin.astype(np.int64), lengths[known])]
+        return out, lengths
 
     def _learn_words(self, words: Iterable[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.words]
-        for word, ids in zip(new, self._resolve(new)):
-            self.words[word] = self._add(ids)
+        if new:
+            self.words.update(zip(new, self._keep(*self._resolve(new))))
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         split = [self.splitter.words(" " + p) for p in pieces]
-        several = [ws for ws in split if len(ws) > 1]
-        self._learn_words(w for ws in several for w in ws)
-        single = [(p, ws[0]) for p, ws in zip(pieces, split) if len(ws) == 1]
-        for (piece, _), ids in zip(single, self._resolve([w for _, w in single])):
-            self.pieces[piece] = self._add(ids)
-        for piece, ws in zip(pieces, split):
-            if len(ws) > 1:
-                self.pieces[piece] = self._add(np.concatenate([self._ids(self.words[w]) for w in ws]))
-
-    def _ids(self, place: int) -> np.ndarray:
-        return self.flat[self.starts[place] : self.starts[place + 1]]
-
-    def _places(self, text: str) -> list[int]:
-        """Places of the ids of an ordinary stretch."""
+        flat = list(chain.from_iterable(split))
+        number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        ids, sizes = self._resolve(list(number))
+        begin = np.cumsum(sizes) - sizes
+        at = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, split)])]
+        self.pieces.update(zip(pieces, self._keep(ids[spread(begin[at], lengths)], np.diff(ends))))
+
+    def _cut(self, text: str) -> tuple[list[str], list[str]]:
+        """Words at the head of an ordinary stretch, and the pieces after each blank."""
         if not text:
-            return []
+            return [], []
         if splits_by_blank(text):
-            head, *pieces = text.split(" ")
-            places = list(map(self.pieces.get, pieces))
-            if None in places:
-                self._learn_pieces(list(dict.fromkeys(p for p, at in zip(pieces, places) if at is None)))
-                places = list(map(self.pieces.get, pieces))
-            text = head
-        else:
-            places = []
-        words = self.splitter.words(text)
-        self._learn_words(words)
-        return [self.words[w] for w in words] + places
+            text, *pieces = text.split(" ")
+            return self.splitter.words(text), pieces
+        return self.splitter.words(text), []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each begins."""
         if self.count > REMEMBERED_PIECES:
             self._trim()
         split = [self.splitter.parts(text) for text in texts]
+        cut = [[self._cut(part) for part in parts[::2]] for parts in split]
         # what is new in all texts is learnt at once: all its words then walk the automaton together
+        self._learn_words(w for parts in cut for words, _ in parts for w in words)
         new: set[str] = set()
-        for parts in split:
-            for part in parts[::2]:
-                if splits_by_blank(part):
-                    new.update(part.split(" ")[1:])
+        for parts in cut:
+            for _, pieces in parts:
+                new.update(pieces)
         new -= self.pieces.keys()
         if new:
             self._learn_pieces(sorted(new))
         places, sizes = [], []
-        for parts in split:
-            here = self._places(parts[0])
-            for special, part in zip(parts[1::2], parts[2::2]):
-                here.append(-1 - self.vocabulary.special[special])
-                here += self._places(part)
-            places += here
-            sizes.append(len(here))
+        word_place, piece_place = self.words.__getitem__, self.pieces.__getitem__
+        for parts, stretches in zip(split, cut):
+            before = len(places)
+            for k, (words, pieces) in enumerate(stretches):
+                if k:
+                    places.append(-1 - self.vocabulary.special[parts[2 * k - 1]])
+                places += map(word_place, words)
+                places += map(piece_place, pieces)
+            sizes.append(len(places) - before)
         at = np.array(places, dtype=np.int64)
         special = at < 0
         begin = np.where(special, 0, self.starts[np.where(special, 0, at)])
         lengths = np.where(special, 1, self.starts[np.where(special, 0, at) + 1] - begin)
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(begin - (ends - lengths), lengths)]
+        ids = self.flat[spread(begin, lengths)]
         if special.any():
             ids[(ends - 1)[special]] = -1 - at[special]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
@@ -351,9 +364,11 @@ class Encoder:
 
 
 def word_counts(documents: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """(word, n) over all texts. Tasks count pieces first, so a frequent word is a row per task."""
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
-    arrow = to_arrow_schema(schema)
+    """(word, n) over all texts. Tasks count pieces first, so a frequent word is a row per task; pieces are split
+    into words when they have been added up, once for all tasks."""
+    counted = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+    marked = T.StructType([*counted.fields, T.StructField("is_piece", T.BooleanType())])
+    arrow, marked_arrow = to_arrow_schema(counted), to_arrow_schema(marked)
     splitter = Splitter(vocabulary.special)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,13 +376,11 @@ def word_counts(documents: DataFrame, vocabulary: Vocabulary, text: str = "text"
         words: Counter = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for piece, n in pieces.items():
-                for word in splitter.words(" " + piece):
-                    words[word] += n
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array(list(words.values()), pa.int64())], schema=arrow)
-            pieces.clear()
-            words.clear()
+            for found, is_piece in ((pieces, True), (words, False)):
+                if found:
+                    columns = [pa.array(list(found)), pa.array(list(found.values()), pa.int64()), pa.array([is_piece] * len(found))]
+                    yield pa.RecordBatch.from_arrays(columns, schema=marked_arrow)
+                found.clear()
 
         for batch in batches:
             for value in batch.column(0):
@@ -380,14 +393,48 @@ def word_counts(documents: DataFrame, vocabulary: Vocabulary, text: str = "text"
                     yield from flush()
         yield from flush()
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: Counter = Counter()
+            for found, n, is_piece in zip(*(c.to_pylist() for c in batch.columns)):
+                for word in splitter.words(" " + found) if is_piece else (found,):
+                    words[word] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], schema=arrow)
+
     source = documents.select(col(text).cast("string").alias("text"))
-    return source.mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    pieces = source.mapInArrow(count, marked).groupBy("word", "is_piece").agg(F.sum("n").alias("n")).select("word", "n", "is_piece")
+    return pieces.mapInArrow(split, counted).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the `size` commonest words of all texts, ties to the smaller word."""
-    top = word_counts(documents, vocabulary, text).orderBy(F.desc("n"), "word").limit(size).collect()
-    return Lexicon.compile([r["word"] for r in top], vocabulary)
+    """The compiled lexicon of the commonest words of all texts, `size` at most.
+
+    Words are counted by ranges of their number first (up to 256 by single numbers; there are a few thousand
+    ranges), so that only the words of the lexicon come to the driver: those of all ranges that fit.
+    """
+    counts = settle(word_counts(documents, vocabulary, text), "words")
+    ranged = counts.withColumn("range", F.shiftright(value_key(F.col("n").cast("double")), RANGE_BITS[0]))
+    words, lowest = 0, None
+    for row in sorted(ranged.groupBy("range").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["range"]):
+        words += row["words"]
+        if words > size:
+            break
+        lowest = row["range"]
+    if lowest is None:
+        return Lexicon.compile([], vocabulary)
+    return Lexicon.compile([r["word"] for r in ranged.where(F.col("range") >= lowest).select("word").collect()], vocabulary)
+
+
+_encoders: dict[bytes, Encoder] = {}
+
+
+def worker_encoder(block: bytes, vocabulary: Vocabulary, splitter: Splitter) -> Encoder:
+    """One encoder for each Python worker: what it remembers serves the next task with the same lexicon too."""
+    mark = sha256(block).digest()
+    if mark not in _encoders:
+        _encoders.clear()
+        _encoders[mark] = Encoder(Lexicon.mapped(block), vocabulary, splitter)
+    return _encoders[mark]
 
 
 def encode(documents: DataFrame, lexicon: bytes, vocabulary: Vocabulary, keep: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -401,8 +448,7 @@ def encode(documents: DataFrame, lexicon: bytes, vocabulary: Vocabulary, keep: l
     shared = documents.sparkSession.sparkContext.broadcast((lexicon, vocabulary, Splitter(vocabulary.special)))
 
     def start():
-        block, *rest = shared.value
-        encoder = Encoder(Lexicon.mapped(block), *rest)
+        encoder = worker_encoder(*shared.value)
 
         def step(texts: list[str]) -> dict[str, object]:
             ids, bounds = encoder.encode(texts)
@@ -426,14 +472,38 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: s
     at = source.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        decoder = ByteDecoder(shared.value)
         for batch in batches:
-            sizes = [len(v) if v.is_valid else 0 for v in batch.column(at)]
+            sizes = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_pylist()
             for lo, hi in text_slices(sizes):
                 part = batch.slice(lo, hi - lo)
-                texts = [
-                    b"".join([table[i] for i in row or () if i in table]).decode("utf-8", "replace") for row in part.column(at).to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], schema=arrow)
+                texts = decoder.decode(*flat_lists(part.column(at)))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts.cast(pa.string())], schema=arrow)
 
     return source.mapInArrow(run, schema)
+
+
+class ByteDecoder:
+    """Texts of ids, all rows of a batch in one gather."""
+
+    def __init__(self, token_bytes: dict[int, bytes]):
+        size = max(token_bytes, default=-1) + 1
+        coded = [token_bytes.get(i, b"") for i in range(size)] + [b""]  # the last one stands for unknown ids
+        lengths = np.array([len(c) for c in coded], dtype=np.int64)
+        self.size, self.lengths = size, lengths
+        self.begin = np.cumsum(lengths) - lengths
+        self.flat = np.frombuffer(b"".join(coded), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        known = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        lengths = self.lengths[known]
+        data = self.flat[spread(self.begin[known], lengths)]
+        offsets = np.concatenate([[0], np.cumsum(lengths)])[bounds].astype(np.int64)
+        texts = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+        try:
+            texts.validate(full=True)
+            return texts
+        except pa.ArrowInvalid:
+            raw = data.tobytes()
+            rows = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+            return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in rows], pa.large_string())
