@@ -19,7 +19,9 @@ EMBEDDING = 8
 # about so many texts of each language serve the fit, WINDOWS_EACH windows of a text
 PER_LANGUAGE = 800
 WINDOWS_EACH = 3
-LANGUAGES = 200
+SAMPLE_TEXTS = 160_000
+LEAST_TEXTS = 20
+LANGUAGES = 10_000
 ROUNDS = 8
 # a small sample is gone over more often, up to so many steps
 LEAST_STEPS = 500
@@ -157,28 +159,31 @@ def fit(samples: list[tuple[bytes, str]], seed: int = 5) -> Network | None:
 
 
 def language_sample(documents: DataFrame, key: str, text: str, language: str) -> list[tuple[bytes, str]]:
-    """Windows of a bounded sample: about PER_LANGUAGE texts of each of the LANGUAGES commonest languages.
+    """Windows of a bounded sample: about PER_LANGUAGE texts of each language, fewer where there are more languages
+    than SAMPLE_TEXTS has room for. LANGUAGES, which is more than there are in the world, bounds what is collected.
 
     Twice as many texts at most, evenly by a hash of the key; of each text WINDOWS_EACH windows,
     spread evenly over it. The windows are cut where the texts are, so only they move.
     """
     known = documents.where(col(language).isNotNull() & (F.length(col(text)) > 0))
-    counts = known.groupBy(col(language).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy(col(language).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     out = []
     if not counts:
         return out
-    share = F.coalesce(
-        *[F.when(col(language) == r["lang"], F.lit(int(1_000_000 * min(1.0, PER_LANGUAGE / r["n"])) + 1)) for r in counts], F.lit(0)
-    )
+    each = max(LEAST_TEXTS, min(PER_LANGUAGE, SAMPLE_TEXTS // len(counts)))
+    shares = [(r["lang"], int(1_000_000 * min(1.0, each / r["n"])) + 1) for r in counts]
+    share = documents.sparkSession.createDataFrame(shares, "llm_lang string, llm_share long")
     size = F.length(col(text))
 
     def part(i: int) -> Column:
         start = F.floor((size - WINDOW) * i / max(1, WINDOWS_EACH - 1))
         return F.substr(col(text), F.greatest(F.lit(0), start).cast("int") + 1, F.lit(WINDOW))
 
-    chosen = known.where(F.pmod(F.xxhash64(col(key)), F.lit(1_000_000)) < share)
-    rows = chosen.select(col(language).alias("lang"), F.array_distinct(F.array(*[part(i) for i in range(WINDOWS_EACH)])).alias("parts"))
-    for row in rows.limit(2 * PER_LANGUAGE * len(counts)).collect():
+    place = F.pmod(F.xxhash64(col(key)), F.lit(1_000_000))
+    # at most LANGUAGES rows
+    chosen = known.join(F.broadcast(share), (col(language).cast("string") == F.col("llm_lang")) & (place < F.col("llm_share")))
+    rows = chosen.select(F.col("llm_lang").alias("lang"), F.array_distinct(F.array(*[part(i) for i in range(WINDOWS_EACH)])).alias("parts"))
+    for row in rows.limit(2 * each * len(counts)).collect():
         out += [(p.encode()[:WINDOW], row["lang"]) for p in row["parts"]]
     return sorted(out)
 

@@ -122,3 +122,9 @@ def test_sample_has_one_text_of_a_key(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
     found, counts = labelled_sample(documents, labels, "toxic", 5, 100)
     assert [tuple(r) for r in found] == [(1, "text 0", 1), (2, "b", 0)] and counts == {1: 1, 0: 2}
+
+
+def test_more_than_two_hundred_languages_are_sampled(spark):
+    rows = spark.range(2010).selectExpr("id AS doc_id", "concat('text of language ', id % 201) AS text", "concat('l', id % 201) AS lang")
+    found = byte_cnn.language_sample(rows, "doc_id", "text", "lang")
+    assert len({lang for _, lang in found}) == 201
