@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from epicell.llm.blocks import BLOCK_ROWS, best, first_copies, numbered_blocks, search_blocks, usable_vectors
+from epicell.llm.blocks import BLOCK_ROWS, best, by_length, first_copies, numbered_blocks, search_blocks, usable_vectors
 from epicell.session import settle
 
 # each component is kept in so many slices, its finer bits only in the exact values
@@ -181,7 +181,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: int = 256,
 
     A component x counts as floor(factor * x), in double precision. A query's own id is no candidate; ties go to the smaller id;
     with fewer than k candidates all are given. Rows whose key or vector is NULL, or whose vector is empty or
-    holds NULL or non-finite components, take no part on either side, nor do vectors of another length than most. Repeated ids of one vector count once. Equal vectors are indexed as often as can matter (k + 1 copies). Other columns are
+    holds NULL or non-finite components, take no part on either side. Each query meets the vectors of its own length. Repeated ids of one vector count once. Equal vectors are indexed as often as can matter (k + 1 copies). Other columns are
     ignored; an empty side gives no rows.
     """
 
@@ -189,16 +189,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: int = 256,
         whole = F.transform("vector", lambda x: F.floor(x * factor).cast("long"))
         return usable_vectors(df, key, vector).select("id", whole.alias("vector")).distinct()
 
-    rows = usable(vectors)
-    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], T.StructType([FOUND[0], T.StructField("rank", T.IntegerType()), *FOUND[1:]]))
-    d, n = sizes[0]["d"], sizes[0]["n"]
-    rows = rows.where(F.size("vector") == d)
-    blocks, block = numbered_blocks(n, BLOCK_ROWS, F.col("id"))
-    index = build_index(first_copies(rows, k + 1), block)
-    asked = settle(usable(queries).where(F.size("vector") == d), "queries")
-
     def compare(table: pa.Table, wanted: pa.Table) -> pa.Table:
         block = Block(table)
         values = wanted["vector"].combine_chunks()
@@ -212,4 +202,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: int = 256,
             }
         )
 
-    return best(search_blocks(index, asked, blocks, asked.count(), compare, FOUND), k)
+    def search(rows: DataFrame, asked: DataFrame, d: int, n: int) -> DataFrame:
+        blocks, block = numbered_blocks(n, BLOCK_ROWS, F.col("id"))
+        index = build_index(first_copies(rows, k + 1), block)
+        return best(search_blocks(index, asked, blocks, asked.count(), compare, FOUND), k)
+
+    return by_length(usable(vectors), settle(usable(queries), "queries"), search, FOUND)

@@ -26,6 +26,24 @@ def usable_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & finite)
 
 
+def by_length(
+    rows: DataFrame, asked: DataFrame, search: Callable[[DataFrame, DataFrame, int, int], DataFrame], result: T.StructType
+) -> DataFrame:
+    """`search(rows, queries, length, n)` for every length that the n vectors of some rows have, one after the other.
+
+    Vectors of different lengths have no inner product: a query meets the candidates of its own length.
+    """
+    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+    out = None
+    for d, n in sizes:
+        found = search(rows.where(F.size("vector") == d), asked.where(F.size("vector") == d), d, n)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        kinds = T.StructType([result[0], T.StructField("rank", T.IntegerType()), *result[1:]])
+        return rows.sparkSession.createDataFrame([], kinds)
+    return out
+
+
 def first_copies(rows: DataFrame, copies: int) -> DataFrame:
     """Of rows with equal vectors the `copies` smallest ids.
 

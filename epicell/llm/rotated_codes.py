@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from epicell.llm.blocks import BLOCK_ROWS, best, first_copies, numbered_blocks, search_blocks, usable_vectors
+from epicell.llm.blocks import BLOCK_ROWS, best, by_length, first_copies, numbered_blocks, search_blocks, usable_vectors
 from epicell.session import settle
 
 # width of the error bound in standard deviations
@@ -144,26 +144,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     of CONFIDENCE standard deviations, so a true neighbour can be missed, rarely; what is given is exact.
 
     Rows whose key or vector is NULL, or whose vector is empty, zero or holds NULL or non-finite components, take no
-    part on either side, nor do vectors of another length than most. Repeated ids of one vector count once. Equal vectors are indexed as often as
+    part on either side. Each query meets the vectors of its own length; every length has an index of its own. Repeated ids of one vector count once. Equal vectors are indexed as often as
     can matter (k + 1 copies). Other columns are ignored; an empty side gives no rows.
     """
 
     def usable(df: DataFrame) -> DataFrame:
         return usable_vectors(df, key, vector).where(F.exists("vector", lambda x: x != 0))
 
-    rows = usable(vectors)
-    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], T.StructType([FOUND[0], T.StructField("rank", T.IntegerType()), *FOUND[1:]]))
-    d, n = sizes[0]["d"], sizes[0]["n"]
-    rows = rows.where(F.size("vector") == d).distinct()
-    centre = rows.select([F.avg(F.col("vector")[i]).alias(f"c{i}") for i in range(d)]).first()
-    rotation = Rotation.random(np.array(centre, dtype=float))
-    blocks, block = numbered_blocks(n, BLOCK_ROWS, F.col("id"))
-    index = build_index(first_copies(rows, k + 1), rotation, block)
-    asked = settle(usable(queries).where(F.size("vector") == d).distinct(), "queries")
-
-    def compare(table: pa.Table, wanted: pa.Table) -> pa.Table:
+    def compare(table: pa.Table, wanted: pa.Table, rotation: Rotation) -> pa.Table:
         block = {c: table[c].to_numpy() for c in ("id", "length", "aligned", "with_centre")}
         block["vector"] = _matrix(table["vector"])
         block["code"] = np.frombuffer(b"".join(table["code"].to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1)
@@ -178,4 +166,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
             }
         )
 
-    return best(search_blocks(index, asked, blocks, asked.count(), compare, FOUND), k)
+    def search(rows: DataFrame, asked: DataFrame, d: int, n: int) -> DataFrame:
+        rows = rows.distinct()
+        centre = rows.select([F.avg(F.col("vector")[i]).alias(f"c{i}") for i in range(d)]).first()
+        rotation = Rotation.random(np.array(centre, dtype=float))
+        blocks, block = numbered_blocks(n, BLOCK_ROWS, F.col("id"))
+        index = build_index(first_copies(rows, k + 1), rotation, block)
+        return best(search_blocks(index, asked, blocks, asked.count(), lambda t, q: compare(t, q, rotation), FOUND), k)
+
+    return by_length(usable(vectors), settle(usable(queries).distinct(), "queries"), search, FOUND)

@@ -10,11 +10,13 @@ SCHEMA = "vec_id long, embedding array<float>, label int, id int, block int, ran
 
 @pytest.fixture(scope="module")
 def vectors(spark):
-    """Random vectors with ties, copies, repeated rows, zero, NULL and broken ones, and clashing columns."""
+    """Random vectors of several lengths with ties, copies, repeated rows, zero, NULL and broken ones, and clashing columns."""
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 19).astype(np.float32)]) for i in range(400)]
     rows += [(1000 + i, rows[7][1]) for i in range(60)]
-    rows += [(2000, [0.0] * 19), (2020, None), (2040, [float("nan")] * 19), (2060, [None] + [0.1] * 18), (2080, []), (None, rows[3][1]), (2100, [0.5] * 7)]
+    rows += [(2000, [0.0] * 19), (2020, None), (2040, [float("nan")] * 19), (2060, [None] + [0.1] * 18), (2080, []), (None, rows[3][1])]
+    # other lengths: three vectors of one, and one alone
+    rows += [(2100, [0.5] * 7), (2120, [0.25] * 7), (2121, [-0.5] * 7), (2140, [1.0, 2.0])]
     rows += [rows[5], rows[5]]
     return spark.createDataFrame([(i, v, 1, 2, 3, 4) for i, v in rows], SCHEMA).repartition(4)
 
@@ -23,7 +25,7 @@ def brute(vectors, every, k, change, with_zero):
     rows = {}
     for r in vectors.collect():
         v = r.embedding
-        if r.vec_id is None or not v or len(v) != 19 or any(x is None or not np.isfinite(x) for x in v):
+        if r.vec_id is None or not v or any(x is None or not np.isfinite(x) for x in v):
             continue
         if with_zero or any(v):
             rows[r.vec_id] = change(np.array(v, dtype=float))
@@ -31,7 +33,7 @@ def brute(vectors, every, k, change, with_zero):
     out = set()
     for q in ids:
         if q % every == 0:
-            scored = sorted((-(rows[q] * rows[i]).sum(), i) for i in ids if i != q)[:k]
+            scored = sorted((-(rows[q] * rows[i]).sum(), i) for i in ids if i != q and len(rows[i]) == len(rows[q]))[:k]
             out |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)}
     return out
 
