@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from epicell.constants import DAY_US, DAYS_PER_YEAR
 from epicell.functions.encodings import grid_label
@@ -122,19 +126,82 @@ def null_rates(df: DataFrame, top: int | None = None, above: float | None = None
     return rates if top is None else rates.limit(top)
 
 
+# a task hands on its distinct values when it holds so many
+HELD_VALUES = 200_000
+
+
 def column_cardinality(df: DataFrame, lowest: int | None = None, approximate: bool = False) -> DataFrame:
-    """(column, n_distinct, is_constant); NULL counts as one value."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    facts = df.agg(
-        *[count(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(df.columns)],
-        *[F.max(F.col(f"`{c}`").isNull().cast("int")).alias(f"z{i}") for i, c in enumerate(df.columns)],
-    )
-    distinct = [F.col(f"d{i}") + F.coalesce(F.col(f"z{i}"), F.lit(0)) for i in range(len(df.columns))]
-    entries = [(F.lit(c), d, d <= 1) for c, d in zip(df.columns, distinct)]
-    out = _melt(facts, entries, ["column", "n_distinct", "is_constant"])
+    """(column, n_distinct, is_constant); NULL counts as one value.
+
+    The exact count goes over the rows once: tasks collect the distinct values of each column, and (column, value) are
+    made distinct and counted by column. The approximate one estimates from a sketch per column.
+    """
+    if approximate:
+        counts = cardinality_sketches(df).select(
+            "column", (F.hll_sketch_estimate("sketch") + F.col("has_null").cast("int")).alias("n_distinct")
+        )
+    else:
+        found = distinct_values(df).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+        names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
+        # a table without rows has no values
+        counts = names.join(found, "column", "left").select("column", F.coalesce("n_distinct", F.lit(0).cast("bigint")).alias("n_distinct"))
+    out = counts.select("column", "n_distinct", (F.col("n_distinct") <= 1).alias("is_constant"))
     return out if lowest is None else out.orderBy("n_distinct", "column").limit(lowest)
 
 
+def _plain(df: DataFrame) -> list[Column]:
+    """The columns in types whose texts tell all values apart; both zeros are one value."""
+    out = []
+    for i, (c, kind) in enumerate(df.dtypes):
+        value = F.col(f"`{c}`")
+        if kind in ("double", "float"):
+            value = value + F.lit(0.0).cast(kind)
+        elif kind == "binary":
+            value = F.hex(value)
+        elif kind not in ("string", "bigint", "int", "smallint", "tinyint", "boolean", "date"):
+            value = value.cast("string")
+        out.append(value.alias(f"c{i}"))
+    return out
+
+
+def distinct_values(df: DataFrame) -> DataFrame:
+    """(column, value as text, NULL for NULL): what each task has seen, each value about once a task."""
+    names = df.columns
+    schema = T.StructType([T.StructField("column", T.StringType()), T.StructField("value", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pa.Array] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for i, values in held.items():
+                texts = values.cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(texts), pa.string()), texts], schema=arrow)
+            held.clear()
+
+        for batch in batches:
+            for i, values in enumerate(batch.columns):
+                own = values.unique()
+                held[i] = pa.concat_arrays([held[i], own]).unique() if i in held else own
+            if sum(map(len, held.values())) > HELD_VALUES:
+                yield from flush()
+        yield from flush()
+
+    return df.select(*_plain(df)).mapInArrow(run, schema)
+
+
+def cardinality_sketches(df: DataFrame) -> DataFrame:
+    """(column, sketch, has_null) from one pass. The sketches of several tables may be kept and merged with
+    `hll_union_agg`."""
+    values = df.select(*[c.cast("string") for c in _plain(df)])
+    facts = values.agg(
+        *[F.hll_sketch_agg(c).alias(f"s{i}") for i, c in enumerate(values.columns)],
+        *[F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).alias(f"z{i}") for i, c in enumerate(values.columns)],
+    )
+    entries = [(F.lit(c), F.col(f"s{i}"), F.col(f"z{i}")) for i, c in enumerate(df.columns)]
+    return _melt(facts, entries, ["column", "sketch", "has_null"])
+
+
 def column_roles(df: DataFrame) -> DataFrame:
     """(column, type, is_target_like, is_time_like, is_numeric, is_binary_like).
 
@@ -165,32 +232,67 @@ def column_roles(df: DataFrame) -> DataFrame:
     return _melt(facts, entries, ["column", "type", "is_target_like", "is_time_like", "is_numeric", "is_binary_like"])
 
 
+PAIR_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+PAIR_ENDS = ["min_x", "max_x", "min_y", "max_y"]
+
+
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(a, b, n, sums and extremes) of column pairs over rows where both are present, one row a task and pair.
+
+    Values are taken relative to the mean and the deviation of their column. The sums of all pairs are four
+    matrix products of the values and of the mask of those present.
+    """
+    value = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    facts = df.agg(*[f(v) for v in value.values() for f in (F.avg, F.stddev_pop)]).first()
+    center = np.array([facts[2 * i] or 0.0 for i in range(len(cols))])
+    scale = np.array([facts[2 * i + 1] or 1.0 for i in range(len(cols))])
+    schema = T.StructType(
+        [T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in PAIR_SUMS + PAIR_ENDS]]
+    )
+    arrow = to_arrow_schema(schema)
+    names, width = list(cols), len(cols)
+    first, second = np.triu_indices(width, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        low, high = np.full((width, width), np.inf), np.full((width, width), -np.inf)
+        for batch in batches:
+            raw = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1)
+            there = ~np.isnan(raw)
+            x, m = np.where(there, (raw - center) / scale, 0.0), there.astype(np.float64)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            for j in range(width):  # extremes of all columns over the rows that have column j
+                mine = raw[there[:, j]]
+                if len(mine):
+                    low[:, j] = np.fmin(low[:, j], np.fmin.reduce(mine, axis=0))
+                    high[:, j] = np.fmax(high[:, j], np.fmax.reduce(mine, axis=0))
+        count, sums, squares, products = total
+        columns = [count[first, second], sums[first, second], sums[second, first], squares[first, second], squares[second, first]]
+        columns += [products[first, second], low[first, second], high[first, second], low[second, first], high[second, first]]
+        pairs = [pa.array([names[i] for i in side], pa.string()) for side in (first, second)]
+        yield pa.RecordBatch.from_arrays([*pairs, *[pa.array(c) for c in columns]], schema=arrow)
+
+    return df.select(*[v.alias(f"c{i}") for i, v in enumerate(value.values())]).mapInArrow(run, schema)
+
+
 def high_corr_pairs(
     df: DataFrame, cols: Sequence[str] | None = None, thr: float = 0.95, k: int | None = None
 ) -> DataFrame:
-    """(a, b, abs_corr) of column pairs with |Pearson| >= thr over rows where both are present.
-
-    Column pairs, not row pairs: each row adds one entry per pair, summed before the shuffle.
-    """
+    """(a, b, abs_corr) of column pairs with |Pearson| >= thr over rows where both are present."""
     cols = list(cols or numeric_columns(df))
-    entries = [
-        F.struct(
-            F.lit(a).alias("a"),
-            F.lit(b).alias("b"),
-            F.col(f"`{a}`").cast("double").alias("x"),
-            F.col(f"`{b}`").cast("double").alias("y"),
-        )
-        for i, a in enumerate(cols)
-        for b in cols[i + 1 :]
-    ]
-    pairs = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    pairs = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, abs_corr double")
+    moments = pair_moments(df, cols).groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in PAIR_SUMS],
+        *[(F.min if c.startswith("min") else F.max)(c).alias(c) for c in PAIR_ENDS],
+    )
+    n = F.col("n")
     # a constant column has no correlation; its extremes tell exactly, its rounded deviation may not
-    varies = (F.max("x") > F.min("x")) & (F.max("y") > F.min("y"))
-    # written out because corr() itself fails on a zero deviation in ANSI mode
-    value = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    corr = pairs.groupBy("a", "b").agg(F.abs(value).alias("abs_corr"), varies.alias("varies"))
-    strong = corr.where(F.col("varies") & (F.col("abs_corr") >= thr)).drop("varies")
+    varies = (n > 0) & (F.col("max_x") > F.col("min_x")) & (F.col("max_y") > F.col("min_y"))
+    spread_x, spread_y = (F.col(f"s{v}{v}") - F.col(f"s{v}") * F.try_divide(F.col(f"s{v}"), n) for v in "xy")
+    common = F.col("sxy") - F.col("sx") * F.try_divide(F.col("sy"), n)
+    value = F.try_divide(common, F.sqrt(F.greatest(spread_x, F.lit(0.0)) * F.greatest(spread_y, F.lit(0.0))))
+    strong = moments.where(varies).select("a", "b", F.abs(value).alias("abs_corr")).where(F.col("abs_corr") >= thr)
     ordered = strong.orderBy(F.desc("abs_corr"), "a", "b")
     return ordered if k is None else ordered.limit(k)
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epicell.operators.rank_select import exact_quantiles
+
 # an octave of values has 2^40 keys; ranges are 2^-8, 2^-20 and 2^-30 of it
 KEY_SCALE = float(2**40)
 RANGE_BITS = (32, 20, 10)
@@ -69,34 +71,11 @@ def running_below(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[s
     return rows.select(*df.columns, *[(F.col(f"{s}_above") + F.col(f"{s}_own")).alias(f"{s}_below") for s in sums])
 
 
-def unpivot_doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(col, value) for the non-NULL values of the numeric columns."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols])
-    long = df.select(F.explode(pairs).alias("p")).select("p.col", "p.value")
-    return long.where(F.col("value").isNotNull())
-
-
 def exact_percentiles(df: DataFrame, probs: dict[str, float]) -> DataFrame:
     """(col, percentile): linear-interpolated exact percentile per column; columns without a value are absent."""
-    counted = unpivot_doubles(df, list(probs)).groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_below(counted, ["col"], "value", ["n"])
-    totals = counted.groupBy("col").agg(F.sum("n").alias("total"))
-    level = F.create_map(*[x for c, p in probs.items() for x in (F.lit(c), F.lit(float(p)))])
-    at = (F.col("total") - 1) * F.element_at(level, F.col("col"))
-    placed = ranked.join(totals, "col").withColumn("at", at)
-
-    def holds(rank: Column) -> Column:
-        return (F.col("n_below") <= rank) & (rank < F.col("n_below") + F.col("n"))
-
-    low, high = F.floor("at"), F.ceil("at")
-    ends = placed.groupBy("col").agg(
-        F.max(F.when(holds(low), F.col("value"))).alias("low"),
-        F.max(F.when(holds(high), F.col("value"))).alias("high"),
-        F.max(F.col("at") - low).alias("part"),
-    )
-    return ends.select("col", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("percentile"))
+    return df.sparkSession.createDataFrame(list(percentile_values(df, probs).items()), "col string, percentile double")
 
 
 def percentile_values(df: DataFrame, probs: dict[str, float]) -> dict[str, float]:
-    """The percentiles as a dict; one row per column comes to the driver."""
-    return {row["col"]: row["percentile"] for row in exact_percentiles(df, probs).collect()}
+    """The percentiles as a dict, found by histogram refinement."""
+    return exact_quantiles(df, probs)
