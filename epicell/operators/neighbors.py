@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from epicell.constants import DAY_US, MIN_MAG_WINDOW, RADIUS_KM
 from epicell.functions.geo import chord_sq, haversine_km, km_to_chord, unit_xyz
 from epicell.functions.timeparse import floor_div
-from epicell.operators.cells import explode_cover, home_cell
+from epicell.operators.cells import cell_center, cell_reach_km, explode_cover, home_cell
 from epicell.session import settle
 
 CELL_DEG = 2.0
@@ -78,7 +78,7 @@ def near_pairs(
         r_keyed = r_keyed.withColumn("bucket", span.right_bucket())
         keys.append("bucket")
 
-    l_keyed, r_keyed, keys = cut_hot_blocks(l_keyed, r_keyed, keys)
+    l_keyed, r_keyed, keys = cut_hot_blocks(l_keyed, r_keyed, keys, left_rows=rows_at_most(left, left_at, km, span, deg))
     l_keyed = l_keyed.repartition(*keys)
 
     limit = km_to_chord(km) ** 2
@@ -92,13 +92,36 @@ def near_pairs(
     return pairs.drop("l_x", "l_y", "l_z", "r_x", "r_y", "r_z", *keys)
 
 
+def rows_at_most(left: DataFrame, left_at: tuple[str, str], km: float, span: TimeSpan | None, deg: float) -> DataFrame:
+    """(cell, bucket, rows): an upper bound of the left rows that a block gets, without repeating the rows.
+
+    Rows are counted by home cell and bucket, and each count is given to all blocks that a row of that home could
+    reach.
+    """
+    homes = {"home": home_cell(*[F.col(c) for c in left_at], deg)}
+    if span is not None:
+        homes["home_bucket"] = floor_div(F.col(span.left), span.width)
+    counts = left.select(*[v.alias(k) for k, v in homes.items()]).groupBy(*homes).agg(F.count(F.lit(1)).alias("rows"))
+    lat, lon = cell_center(F.col("home"), deg)
+    reach = cell_reach_km(F.col("home"), deg) + km
+    spread = explode_cover(counts.withColumns({"at_lat": lat, "at_lon": lon, "at_km": reach}), "at_lat", "at_lon", F.col("at_km"), deg)
+    keys = ["cell"]
+    if span is not None:
+        first = F.col("home_bucket") * span.width
+        last = first + span.width - 1 + (span.hi - 1 if span.hi_open else span.hi)
+        spread = spread.withColumn("bucket", F.explode(F.sequence(floor_div(first + span.lo, span.width), floor_div(last, span.width))))
+        keys.append("bucket")
+    return spread.groupBy(*keys).agg(F.sum("rows").alias("rows"))
+
+
 def cut_hot_blocks(
-    left: DataFrame, right: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS
+    left: DataFrame, right: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS, left_rows: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Cut every block with too many rows into a grid of (left part, right part) tiles.
 
     Each left row goes to one left part and is repeated for all right parts, and the other
-    way round, so each pair still meets in exactly one tile. Block counts are partial sums.
+    way round, so each pair still meets in exactly one tile. Block counts are partial sums; `left_rows` (keys, rows)
+    may bring bounds of those of the left side, since a block that is cut too finely still is right.
     Only blocks that need cutting are kept. They are written first: Spark then knows how few they
     are, and does not shuffle a side by the very key that is to be cut.
     """
@@ -106,8 +129,9 @@ def cut_hot_blocks(
     def sized(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
 
+    bounded = None if left_rows is None else left_rows.select(*keys, F.ceil(F.col("rows") / block_rows).cast("int").alias("l_parts"))
     hot = (
-        sized(left, "l_parts")
+        (sized(left, "l_parts") if bounded is None else bounded)
         .join(sized(right, "r_parts"), keys)
         .where((F.col("l_parts") > 1) | (F.col("r_parts") > 1))
     )

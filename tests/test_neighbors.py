@@ -1,6 +1,7 @@
 """The grid joins against brute force on hard points."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,7 @@ def test_radius_join_is_exact(world, radius):
 @pytest.mark.parametrize("rows", [7, neighbors.BLOCK_ROWS])
 def test_cutting_hot_blocks_changes_nothing(world, rows, monkeypatch):
     pdf, df, dist = world
-    monkeypatch.setattr(neighbors, "cut_hot_blocks", lambda a, b, k: _cut_original(a, b, k, block_rows=rows))
+    monkeypatch.setattr(neighbors, "cut_hot_blocks", lambda a, b, k, **more: _cut_original(a, b, k, block_rows=rows, **more))
     a = df.select(F.col("event_id").alias("a"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"), F.col("event_us").alias("ta"))
     b = df.select(F.col("event_id").alias("b"), F.col("latitude").alias("lb"), F.col("longitude").alias("lp"), F.col("event_us").alias("tb"))
     span = TimeSpan("ta", "tb", -30 * DAY_US, 30 * DAY_US)
@@ -171,3 +172,17 @@ def test_labels_equal_brute_force(world):
     for i in range(len(pdf)):
         gap = (day - day[i])[(dist[i] <= 200) & big]
         assert got[i] == tuple(int(((gap > 0) & (gap <= h)).any()) for h in (7, 30, 365))
+
+
+def test_bounds_of_blocks_hold(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice([-89.9, 0.0, rng.uniform(-90, 90)]), rng.choice([179.9, rng.uniform(-180, 180)]), rng.randrange(-500, 500)) for i in range(400)]
+    left = spark.createDataFrame(rows, "id long, lat double, lon double, t long")
+    for km, span in ((200.0, neighbors.TimeSpan("t", "u", -30, 0, True)), (900.0, neighbors.TimeSpan("t", "u", 1, 30)), (50.0, None)):
+        real = neighbors.explode_cover(left, "lat", "lon", km, 2.0)
+        keys = ["cell"]
+        if span is not None:
+            real, keys = real.withColumn("bucket", F.explode(span.left_buckets())), ["cell", "bucket"]
+        bound = neighbors.rows_at_most(left, ("lat", "lon"), km, span, 2.0)
+        both = real.groupBy(*keys).count().join(bound, keys, "left")
+        assert both.where("rows IS NULL OR rows < count").count() == 0
