@@ -1,19 +1,19 @@
 """Running totals in value order and exact percentiles, without one task seeing all values.
 
-Equal values are summed first. The remaining values are placed in three levels of ranges by an
-order-preserving integer key, totals are accumulated over ranges, then over the finer ranges
-of a range, and so on down to the values of a finest range. No window spans more than one range,
-and a range has a bounded number of finer ones.
+`value_key` is an order-preserving integer of a double, for counting by ranges of values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epicell.operators.rank_select import exact_quantiles
+from epicell.session import settle
 
 # an octave of values has 2^40 keys; ranges are 2^-8, 2^-20 and 2^-30 of it
 KEY_SCALE = float(2**40)
@@ -39,36 +39,27 @@ def value_key(value: Column) -> Column:
 def running_below(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
     """Adds `{s}_below` = total of `s` over strictly smaller values of the group.
 
-    `df` has one row per (by, value) with a non-NULL value.
+    `df` has one row per (by, value) with a non-NULL value. Rows are dealt by range of (by, value) and written;
+    totals are accumulated within a range, and over the ranges of a group before it. So no task has more than one
+    range, however many values a group has.
     """
     by = list(by)
-    key = value_key(F.col(value))
-    levels = [f"range_{i}" for i in range(len(RANGE_BITS))]
-    placed = df.withColumns({c: F.shiftright(key, bits) for c, bits in zip(levels, RANGE_BITS)})
-
-    def accumulated(frame: DataFrame, within: list[str], order: str) -> dict[str, Column]:
-        spec = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-        w = spec.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return {s: F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums}
-
-    # totals per range, from the finest level up, each from the one below it
-    totals = [placed.groupBy(*by, *levels).agg(*[F.sum(s).alias(s) for s in sums])]
-    for depth in range(len(levels) - 1, 0, -1):
-        totals.insert(0, totals[0].groupBy(*by, *levels[:depth]).agg(*[F.sum(s).alias(s) for s in sums]))
-    above: DataFrame | None = None
-    for depth, frame in enumerate(totals):
-        within = [*by, *levels[:depth]]
-        sofar = accumulated(frame, within, levels[depth])
-        placed_here = frame.select(*within, levels[depth], *[v.alias(f"{s}_here") for s, v in sofar.items()])
-        if above is None:
-            above = placed_here.withColumnsRenamed({f"{s}_here": f"{s}_above" for s in sums})
-        else:
-            joined = placed_here.join(above, within)
-            above = joined.select(*within, levels[depth], *[(F.col(f"{s}_here") + F.col(f"{s}_above")).alias(f"{s}_above") for s in sums])
-    within = [*by, *levels]
-    own = accumulated(placed, within, value)
-    rows = placed.withColumns({f"{s}_own": v for s, v in own.items()}).join(above, within)
-    return rows.select(*df.columns, *[(F.col(f"{s}_above") + F.col(f"{s}_own")).alias(f"{s}_below") for s in sums])
+    order = [*[F.col(f"`{c}`") for c in by], F.col(f"`{value}`")]
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the upper bits number the range that a row was dealt to
+    ranged = dealt.withColumn("range_no", F.shiftright(F.monotonically_increasing_id(), 33))
+    placed = settle(ranged, "ranges")
+    within = Window.partitionBy("range_no", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by or [F.lit(0)]).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range of a group
+    totals = placed.groupBy("range_no", *by).agg(*[F.sum(s).alias(s) for s in sums])
+    before = totals.select("range_no", *by, *[F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(f"{s}_ahead") for s in sums])
+    own = placed.withColumns({f"{s}_own": F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums})
+    keys = ["range_no", *by]
+    renamed = before.withColumnsRenamed({k: f"{k}_before" for k in keys})
+    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{k}_before`")) for k in keys])
+    joined = own.join(renamed, same)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"{s}_own") + F.col(f"{s}_ahead")).alias(f"{s}_below") for s in sums])
 
 
 def exact_percentiles(df: DataFrame, probs: dict[str, float]) -> DataFrame:

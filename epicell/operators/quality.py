@@ -24,7 +24,8 @@ def ranking_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] = (
     grouped = scored.groupBy(*by, s.alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     ranked = running_below(grouped, by, "score", ["pos", "neg"])
     p, n = F.sum("pos"), F.sum("neg")
-    totals = grouped.groupBy(*by).agg(
+    # from the written rows, so the scores are counted once
+    totals = ranked.groupBy(*by).agg(
         p.alias("p_all"),
         n.alias("n_all"),
         # the squared error needs the score and the two counts of a score only
