@@ -19,14 +19,20 @@ READABLE_FROM = 0.35
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the toxicity threshold. The field learns from the labels of the input tables."""
+    """Documents under the toxicity threshold. The field learns from the labels of the input tables.
+
+    NULL and empty texts have nothing toxic and stay; copies and rows with equal keys are judged alike.
+    """
     labels = table(spark, sf_dir, "labels").where(~held_out(3, 1))
     model = toxicity.train(table(spark, sf_dir, "documents"), labels)
     return toxicity.drop_toxic(docs, model, TOXIC_FROM)
 
 
 def readable(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; it learns from the languages of the input tables."""
+    """Documents in a language that the network knows; it learns from the languages of the input tables.
+
+    NULL and empty texts, and those without a letter, are in none and go.
+    """
     model = byte_cnn.train(table(spark, sf_dir, "documents").where(~held_out(3, 1)))
     return byte_cnn.keep_readable(docs, model, READABLE_FROM).select(*docs.columns)
 
@@ -50,7 +56,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences, with the crc32 of their ids."""
+    """The pieces of all sequences, with the crc32 of their ids. A NULL or empty text is its end id alone."""
     ship_package(spark)
     return packing.piece_digests(packing.pack(docs, public_tokenizers.path(WORD_VOCABULARY)))
 
