@@ -83,14 +83,15 @@ def _after(text: Column, tokens: Column) -> Column:
 
 
 def recurring_templates(
-    texts: DataFrame, min_texts: int = MIN_TEXTS, min_long_texts: int | None = None, verbatim: bool = False
+    texts: DataFrame, min_texts: int = MIN_TEXTS, min_long_texts: int | None = MIN_LONG_TEXTS, verbatim: bool = True
 ) -> DataFrame:
     """(template, text_hash): where recurring templates have to go, from (key, text_hash, text).
 
     Texts are counted, not rows: copies of a document are one text. Of each recurring template the text
     with the smallest key keeps its lines and is left out here; texts that share that key all keep
     them, and NULL keys come last. A template that a third of all texts hold is counted by
-    (template, text) first, so no task sees all its rows.
+    (template, text) first; what recurs is written before it is joined back, so that the runtime splits the texts
+    of such a template.
     """
     # explode() would have Spark test the size of the array first, and compute it all a second time;
     # columns come one after the other, so that each is computed once for a line
@@ -107,7 +108,7 @@ def recurring_templates(
     long = F.col("template").bitwiseAND(F.lit(1)) == 1
     needed = F.when(long, F.lit(min_texts if min_long_texts is None else min_long_texts)).otherwise(F.lit(min_texts))
     recurring = held.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("least")).where(F.col("texts") >= needed)
-    places = held.join(recurring.select("template", "least"), "template")
+    places = held.join(settle(recurring.select("template", "least"), "recurring"), "template")
     return places.where(~F.col("first").eqNullSafe(F.col("least"))).select("template", "text_hash")
 
 
@@ -116,13 +117,14 @@ def drop_recurring_lines(
     key: str = "doc_id",
     text: str = "text",
     min_texts: int = MIN_TEXTS,
-    min_long_texts: int | None = None,
-    verbatim: bool = False,
+    min_long_texts: int | None = MIN_LONG_TEXTS,
+    verbatim: bool = True,
 ) -> DataFrame:
     """All rows and columns, lines of recurring templates taken out of `text`, and `dropped_lines`.
 
-    A line goes when one of its templates occurs in at least `min_texts` different texts and this text is not the
-    first of them, which keeps it: nothing vanishes from the corpus. Lines end at a line feed; what stays keeps
+    A line goes when one of its templates occurs in at least `min_texts` different texts (a whole long line:
+    `min_long_texts`) and this text is not the first of them, which keeps it: nothing vanishes from the corpus. If
+    `verbatim`, a line that is too short for a template, or has too many fields, counts by its own words. Lines end at a line feed; what stays keeps
     its order and form. Copies of a document count as one text and are treated alike, also those
     with equal or NULL keys. A NULL text stays NULL and an empty one empty, both with 0 dropped lines; a text may become
     empty. A column `dropped_lines` is replaced. Whole texts are read, whatever their length.
@@ -131,7 +133,8 @@ def drop_recurring_lines(
     rows = documents.select(*[col(c) for c in names], F.xxhash64(col(text).cast("string")).alias("llm_text_hash"))
     plain = rows.where(col(text).isNotNull()).select(col(key).alias("key"), F.col("llm_text_hash").alias("text_hash"), col(text).cast("string").alias("text"))
     gone = recurring_templates(plain, min_texts, min_long_texts, verbatim).groupBy("text_hash").agg(F.collect_set("template").alias("llm_gone"))
-    # ordinary join on the text: copies of one text may be many rows, which the runtime can split
+    # written first: both sides of the join are bare shuffles, so the runtime splits the copies of one text
+    gone = settle(gone, "gone")
     joined = rows.join(gone.withColumnRenamed("text_hash", "llm_text_hash"), "llm_text_hash", "left")
     lines = F.split(col(text).cast("string"), "\n")
     # step by step over all lines, so that nothing is computed twice for a line
@@ -146,7 +149,7 @@ def drop_recurring_lines(
     return joined.select(*[changed.alias(c) if c == text else col(c) for c in names], dropped.cast("int").alias("dropped_lines"))
 
 
-def oracle_sql(min_texts: int = MIN_TEXTS) -> str:
+def oracle_sql(min_texts: int = MIN_TEXTS, min_long_texts: int = MIN_LONG_TEXTS) -> str:
     """The same rows for DuckDB: templates are compared as text."""
     return f"""
 WITH t AS (
@@ -158,16 +161,17 @@ WITH t AS (
 ), k AS (
   SELECT *, regexp_split_to_array(masked, '[ \\t]+') AS w FROM m
 ), s AS (
-  SELECT *, len(w) AS n, (len(w) - {LEADING}) // 2 AS half FROM k
-  WHERE len(w) >= {MIN_TOKENS} AND (length(masked) - length(replace(masked, '{FIELD}', ''))) // {len(FIELD)} * 2 <= len(w)
+  SELECT *, len(w) AS n, (len(w) - {LEADING}) // 2 AS half, regexp_replace(trim(line, ' ' || chr(9) || chr(13)), '[ \t]+', ' ', 'g') AS bare,
+    len(w) >= {MIN_TOKENS} AND (length(masked) - length(replace(masked, '{FIELD}', ''))) // {len(FIELD)} * 2 <= len(w) AS general FROM k
 ), keys AS (
-  SELECT text, doc_id, line_no, '0 ' || array_to_string(w, ' ') AS template FROM s
-  UNION ALL SELECT text, doc_id, line_no, '1 ' || n || ' ' || array_to_string(w[1:{LEADING}], ' ') || ' ' || array_to_string(w[half + {LEADING} + 1:], ' ')
-  FROM s WHERE n >= {MIN_VARIED_TOKENS}
-  UNION ALL SELECT text, doc_id, line_no, '2 ' || n || ' ' || array_to_string(w[1:{LEADING} + half], ' ') FROM s WHERE n >= {MIN_VARIED_TOKENS}
+  SELECT text, doc_id, line_no, '0 ' || array_to_string(w, ' ') AS template, n >= {MIN_VARIED_TOKENS} AS long FROM s WHERE general
+  UNION ALL SELECT text, doc_id, line_no, '1 ' || n || ' ' || array_to_string(w[1:{LEADING}], ' ') || ' ' || array_to_string(w[half + {LEADING} + 1:], ' '), false
+  FROM s WHERE general AND n >= {MIN_VARIED_TOKENS}
+  UNION ALL SELECT text, doc_id, line_no, '2 ' || n || ' ' || array_to_string(w[1:{LEADING} + half], ' '), false FROM s WHERE general AND n >= {MIN_VARIED_TOKENS}
+  UNION ALL SELECT text, doc_id, line_no, '3 ' || bare, n >= {MIN_VARIED_TOKENS} OR length(bare) >= {LONG_CHARS} FROM s WHERE NOT general AND bare <> ''
 ), r AS (
   SELECT template, count(DISTINCT text) AS texts, arg_min(text, doc_id) AS keeper FROM keys GROUP BY template
-  HAVING count(DISTINCT text) >= {min_texts}
+  HAVING count(DISTINCT text) >= CASE WHEN bool_or(long) THEN {min_long_texts} ELSE {min_texts} END
 ), gone AS (
   SELECT DISTINCT text, line_no FROM keys JOIN r USING (template) WHERE text <> keeper
 ), rest AS (
