@@ -189,6 +189,8 @@ def language_sample(documents: DataFrame, key: str, text: str, language: str) ->
 
 
 def train(documents: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> Network | None:
+    """Fit on a bounded sample of the texts that have a language. NULL and empty texts and NULL languages are left out;
+    without any language there is no model. Repeated rows count each."""
     return fit(language_sample(documents, key, text, language))
 
 

@@ -373,7 +373,8 @@ def pack(
 
 
 def piece_digests(sequences: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per piece, with the crc32 of its ids in place of the ids."""
+    """One row per piece, with the crc32 of its ids in place of the ids. Documents with NULL or equal keys keep their
+    own pieces; without sequences there are no rows."""
     piece = F.transform(
         "pieces",
         lambda p: F.struct(
