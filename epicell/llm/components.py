@@ -11,10 +11,10 @@ from epicell.session import settle
 def _neighbours_least(edges: DataFrame) -> DataFrame:
     """Every directed edge (u, v) with `least`, the smallest of u and all its neighbours here.
 
-    The least of a node is a partial aggregate, and is joined back to its edges: the edges of a node
-    that a third of all edges meet are never one group, and the runtime can split that side of the join.
+    The least of a node is a partial aggregate. It is written before it is joined back, so that both sides of the
+    join are bare shuffles and the runtime splits the edges of a node that a third of all edges meet.
     """
-    least = edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("least"))
+    least = settle(edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("least")), "least")
     return edges.join(least, "u")
 
 

@@ -268,7 +268,8 @@ def candidate_edges(texts: DataFrame) -> DataFrame:
         lambda b: F.xxhash64(b, F.substr(F.col("signature"), b * 4 * BAND_HASHES + 1, F.lit(4 * BAND_HASHES))),
     )
     banded = texts.select("text_id", F.explode(keys).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # written, so that the join is one of bare shuffles and a bucket of a third of all texts is split
+    shared = settle(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
     members = banded.join(shared, "bucket")
     tiled = tiles(members, F.col("members"), BUCKET_TEXTS, F.xxhash64("text_id"))
     tiled = tiled.select("bucket", "tile_a", "tile_b", "part", "text_id").join(texts.select("text_id", "signature"), "text_id")
@@ -300,7 +301,6 @@ def verified_links(rows: DataFrame) -> DataFrame:
     links to in that tile, `root` is a text of the tile that it is joined with by links. Shingles that
     one text of a tile has alone cannot be shared, so the sets shrink to bitmaps over the rest.
     """
-    source = tiles(rows, F.col("members"), CLASS_TEXTS, F.xxhash64("text_id"))
     added = [("shingles", T.BinaryType()), ("signature", T.BinaryType())]
     order = ["component", "tile_a", "tile_b"]
 
@@ -313,7 +313,10 @@ def verified_links(rows: DataFrame) -> DataFrame:
 
         return step
 
-    shingled = map_texts(source, "text", [*order, "part", "text_id", "copies"], added, start)
+    # every text is shingled once, however many tiles it is in
+    kept = ["component", "members", "text_id", "copies"]
+    shingled = settle(map_texts(rows, "text", kept, added, start), "shingles")
+    tiled = tiles(shingled, F.col("members"), CLASS_TEXTS, F.xxhash64("text_id")).drop("members")
     schema = T.StructType(
         [
             T.StructField("text_id", T.BinaryType()),
@@ -363,11 +366,11 @@ def verified_links(rows: DataFrame) -> DataFrame:
             ids = table["text_id"].combine_chunks()
             yield pa.RecordBatch.from_arrays([ids, ids.take(pa.array(forest.root)), pa.array(texts), pa.array(documents)], schema=arrow)
 
-    dealt = shingled.repartition(*order).sortWithinPartitions(*order)
+    dealt = tiled.repartition(*order).sortWithinPartitions(*order)
     return dealt.mapInArrow(run, schema)
 
 
-def _text_classes(signed: DataFrame, documents: DataFrame, text: str) -> DataFrame:
+def _text_classes(signed: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
     """(text_id, keeper, n_links, n_linked_texts) of every text; keeper is the least document of the class.
 
     Texts without words are classes of exact copies, without links.
@@ -376,16 +379,22 @@ def _text_classes(signed: DataFrame, documents: DataFrame, text: str) -> DataFra
     texts = settle(
         signed.where(F.col("signature").isNotNull())
         .groupBy("text_id")
-        .agg(F.count(F.lit(1)).alias("copies"), least.alias("least"), F.first("signature").alias("signature"), F.min("text_hash").alias("text_hash")),
+        .agg(F.count(F.lit(1)).alias("copies"), least.alias("least"), F.first("signature").alias("signature")),
         "texts",
     )
     proposed = connected_components(candidate_edges(texts))
-    sizes = proposed.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    # aggregates are written before they are joined back: the runtime splits bare shuffles only
+    sizes = settle(proposed.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "sizes")
     groups = proposed.withColumnRenamed("node", "text_id").join(sizes, "component")
-    chosen = groups.join(texts.select("text_id", "copies", "text_hash"), "text_id")
-    source = documents.select(F.xxhash64(col(text).cast("string")).alias("text_hash"), col(text).cast("string").alias("text"))
-    # copies of a text are many rows with one hash: one of them is kept before its text is used
-    bodies = source.join(chosen.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    whose = texts.select("text_id", "copies", F.col("least.key").alias("llm_key"), F.col("least.text_hash").alias("text_hash"))
+    chosen = settle(groups.join(whose, "text_id"), "chosen")
+    hashed = F.xxhash64(col(text).cast("string"))
+    source = documents.select(col(key).alias("key"), hashed.alias("text_hash"), col(text).cast("string").alias("text"))
+    # of the copies of a text only the document with the least key meets its row, so they are dealt by their keys
+    one = chosen.select("llm_key", F.col("text_hash").alias("llm_hash"))
+    same = F.col("key").eqNullSafe(F.col("llm_key")) & (F.col("text_hash") == F.col("llm_hash"))
+    bodies = source.join(one, same, "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    chosen = chosen.drop("llm_key")
     links = settle(verified_links(chosen.join(bodies, "text_hash").drop("text_hash")), "links")
     classes = connected_components(links.select(F.col("text_id").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("text_id").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
@@ -396,7 +405,7 @@ def _text_classes(signed: DataFrame, documents: DataFrame, text: str) -> DataFra
         .withColumn("class", F.coalesce("class", "text_id"))
     )
     joined = settle(joined, "classes")
-    keepers = joined.groupBy("class").agg(F.min("least").alias("keeper"))
+    keepers = settle(joined.groupBy("class").agg(F.min("least").alias("keeper")), "keepers")
     wordy = joined.join(keepers, "class").select(
         "text_id",
         "keeper",
@@ -423,7 +432,7 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
     agrees (3e-6 at the threshold, less above) or that the pruning errs (TOLERANCE a step).
     """
     signed = settle(sign_texts(documents, key, text), "signatures")
-    classes = _text_classes(signed, documents, text)
+    classes = _text_classes(signed, documents, key, text)
     rows = signed.select("key", "text_id").join(classes, "text_id", "left")
     nothing = F.lit(0).cast("long")
     return rows.select(
@@ -441,7 +450,7 @@ def keep_one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "tex
     stays. NULL texts are in no class and stay.
     """
     signed = settle(sign_texts(documents, key, text), "signatures")
-    classes = _text_classes(signed, documents, text)
+    classes = _text_classes(signed, documents, key, text)
     kept = classes.select("keeper").distinct().select(F.col("keeper.key").alias("llm_key"), F.col("keeper.text_hash").alias("llm_hash"))
     alone = signed.where(F.col("text_id").isNull()).select(F.col("key").alias("llm_key"), F.col("text_hash").alias("llm_hash")).distinct()
     kept = kept.unionByName(alone)
