@@ -170,13 +170,13 @@ def repeated_payloads(pages: DataFrame, key: str, payload: str) -> DataFrame:
     """Every page with `digest` (hexadecimal SHA-1) and `first_id`, the page that keeps the payload.
 
     A digest that occurs once has no row in the joined table, so that table holds repeated
-    payloads only. The counts are partial sums; the join is an ordinary one whose skew (one
-    payload may be a third of all rows) the runtime can split, as every page meets one row at most.
+    payloads only. The counts are partial sums, and written: both sides of the join are then bare shuffles, so
+    the runtime splits a payload that is a third of all rows, and every page meets one row at most.
     """
     body = F.coalesce(col(payload).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(col(key).cast("long").alias("page_id"), body.alias("body"), F.sha1(body).alias("digest"), *_url(pages, key, payload))
     kept = rows.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    return rows.join(kept.where("copies > 1").drop("copies"), "digest", "left")
+    return rows.join(settle(kept.where("copies > 1").drop("copies"), "payloads"), "digest", "left")
 
 
 def _url(pages: DataFrame, key: str, payload: str) -> list:
@@ -252,7 +252,8 @@ def write_archives(
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of all archives of a manifest, as rows of RECORDS."""
+    """The records of all archives of a manifest, as rows of RECORDS. An empty manifest gives none; a page whose
+    payload was NULL or empty comes back as an empty payload, a NULL page_id as NULL."""
     arrow = to_arrow_schema(RECORDS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +274,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write the pages to a fresh folder under the shared one, and read them back."""
+    """Write the pages to a fresh folder under the shared one, and read them back: one record per row, repeated and
+    NULL ids included. NULL payloads are empty ones; without any page there is no record."""
     folder = shared_dir(spark, "warc")
     return read_archives(write_archives(pages, folder), folder)
