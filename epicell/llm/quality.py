@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from epicell.llm.common import labelled_sample, map_texts
+from epicell.llm.common import col, labelled_sample, map_texts, text_slices
 
 # about so many texts of each label, of at most MAX_CHARS characters, serve the fit
 PER_LABEL = 2000
@@ -50,6 +55,7 @@ class Machine:
     factors: np.ndarray  # [WORD_BUCKETS + STATISTICS, FACTORS]
     centre: np.ndarray
     scale: np.ndarray
+    metadata: tuple[str, ...] = ()
 
     def score(self, rows: "Inputs") -> np.ndarray:
         """The value of every row in time linear in its features.
@@ -99,7 +105,8 @@ class Reader:
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
 
-    def read(self, texts: list[str]) -> Inputs:
+    def read(self, texts: list[str], metadata: list[tuple] | None = None, names: tuple[str, ...] = ()) -> Inputs:
+        """`metadata` has the values of the columns `names` of each text; each is one more hashed feature."""
         if len(self.known) > REMEMBERED_WORDS:
             self.known = {}
         owners, found, raw = [], [], np.zeros((len(texts), STATISTICS))
@@ -119,7 +126,14 @@ class Reader:
         owner, bucket = keys // WORD_BUCKETS, keys % WORD_BUCKETS
         value = np.sqrt(counts)
         norm = np.sqrt(np.bincount(owner, counts, len(texts)))
-        return Inputs(len(texts), owner, bucket, value / norm[owner], raw)
+        value = value / norm[owner]
+        if names:
+            marks = [zlib.crc32(metadata_mark(n, v).encode()) % WORD_BUCKETS for row in metadata for n, v in zip(names, row)]
+            owner = np.concatenate([owner, np.repeat(np.arange(len(texts)), len(names))])
+            order = np.argsort(owner, kind="stable")
+            bucket, value = np.concatenate([bucket, np.array(marks, dtype=np.int64)])[order], np.concatenate([value, np.ones(len(marks))])[order]
+            owner = owner[order]
+        return Inputs(len(texts), owner, bucket, value, raw)
 
     @staticmethod
     def _statistics(text: str, words: list[str]) -> list[float]:
@@ -142,19 +156,29 @@ class Reader:
         ]
 
 
-def fit(rows: list[Row], counts: dict[object, int], seed: int = 11) -> Machine | None:
-    """A machine from labelled texts by adaptive gradient steps; None without both labels."""
+def metadata_mark(name: str, value: object) -> str:
+    """A metadata value as a word that no text has: a number by size, in steps of a fifth; NULL and NaN have a mark of their own."""
+    if isinstance(value, bool) or not isinstance(value, (int, float, Decimal)):
+        return f"\n{name}\n{'' if value is None else value}"
+    if value != value:
+        return f"\n{name}\n"
+    step = int(np.sign(value) * np.floor(4 * np.log2(1 + min(abs(float(value)), 1e300))))
+    return f"\n{name}\n#{step}"
+
+
+def fit(rows: list[Row], counts: dict[object, int], seed: int = 11, metadata: tuple[str, ...] = (), values: list[tuple] | None = None) -> Machine | None:
+    """A machine from labelled texts, and their metadata, by adaptive gradient steps; None without both labels."""
     if {bool(r["label"]) for r in rows} != {True, False}:
         return None
     reader = Reader()
-    every = reader.read([r["text"] for r in rows])
+    every = reader.read([r["text"] for r in rows], values, metadata)
     y = np.array([bool(r["label"]) for r in rows], dtype=float)
     share = {v: sum(n for k, n in counts.items() if bool(k) == v) / (y == v).sum() for v in (True, False)}
     weight = np.where(y > 0, share[True], share[False])
     weight /= weight.mean()
     rng = np.random.default_rng(seed)
     size = WORD_BUCKETS + STATISTICS
-    m = Machine(0.0, np.zeros(size), rng.normal(0, 0.01, (size, FACTORS)), every.raw.mean(axis=0), every.raw.std(axis=0) + 1e-6)
+    m = Machine(0.0, np.zeros(size), rng.normal(0, 0.01, (size, FACTORS)), every.raw.mean(axis=0), every.raw.std(axis=0) + 1e-6, metadata)
     constant_square, w_square, v_square = 1e-3, np.full(size, 1e-3), np.full((size, FACTORS), 1e-3)
     tail = slice(WORD_BUCKETS, size)
     for _ in range(max(ROUNDS, -(-LEAST_STEPS * BATCH // len(y)))):
@@ -188,16 +212,33 @@ def fit(rows: list[Row], counts: dict[object, int], seed: int = 11) -> Machine |
     return m
 
 
-def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Machine | None:
-    """Fit on a bounded sample (PER_LABEL texts of a label, MAX_CHARS characters) of the labelled texts given."""
-    return fit(*labelled_sample(documents, labels, label, PER_LABEL, MAX_CHARS, key, text))
+def train(
+    documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", metadata: Sequence[str] = ()
+) -> Machine | None:
+    """Fit on a bounded sample (PER_LABEL texts of a label, MAX_CHARS characters) of the labelled texts given.
+
+    The columns `metadata` of the documents are features too: one hashed mark for each value, which meets all
+    words and statistics in the pairs; of a key with several rows the least values count. Labels that are NULL, or whose
+    text is, are left out.
+    """
+    rows, counts = labelled_sample(documents, labels, label, PER_LABEL, MAX_CHARS, key, text)
+    if not metadata or not rows:
+        return fit(rows, counts)
+    # as many keys as the sample has
+    kinds = T.StructType([T.StructField("llm_key", documents.schema[key].dataType)])
+    keys = documents.sparkSession.createDataFrame([(r["key"],) for r in rows], kinds).distinct()
+    values = F.struct(*[col(c).alias(f"v{i}") for i, c in enumerate(metadata)])
+    held = documents.select(col(key).alias("key"), values.alias("row")).join(F.broadcast(keys), F.col("key") == F.col("llm_key"))
+    known = {r["key"]: tuple(r["row"]) for r in held.groupBy("key").agg(F.min("row").alias("row")).collect()}
+    return fit(rows, counts, metadata=tuple(metadata), values=[known[r["key"]] for r in rows])
 
 
 def score_quality(documents: DataFrame, model: Machine | None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Adds `quality_score` (0 to 1) to the columns `keep` of every row.
 
     Whole texts are read. Features: hashed words; of the text's structure its lines,
-    repetition, classes of characters and marks; of its metadata the length, which is counted anew. A NULL text counts as an empty one, which has statistics only. Without a
+    repetition, classes of characters and marks; the metadata columns that the model was trained with, a NULL
+    among them being a value of its own. A NULL text counts as an empty one, which has statistics only. Without a
     model (a fit without both labels) every score is 1: nothing is known against a text. Repeated
     rows are scored alike. A column named like the result is replaced.
     """
@@ -206,15 +247,39 @@ def score_quality(documents: DataFrame, model: Machine | None, keep: list[str] |
     def start():
         machine, reader = shared.value, Reader()
 
-        def step(texts: list[str]) -> dict[str, object]:
+        def step(texts: list[str], metadata: list[tuple] | None = None) -> dict[str, object]:
             if machine is None:
                 return {"quality_score": np.ones(len(texts))}
-            z = machine.score(reader.read(texts))
+            z = machine.score(reader.read(texts, metadata, machine.metadata))
             return {"quality_score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))}
 
         return step
 
-    return map_texts(documents, text, documents.columns if keep is None else keep, [("quality_score", T.DoubleType())], start)
+    names = documents.columns if keep is None else keep
+    if model is None or not model.metadata:
+        return map_texts(documents, text, names, [("quality_score", T.DoubleType())], start)
+    return _map_with_metadata(documents, text, [c for c in names if c != "quality_score"], model.metadata, start)
+
+
+def _map_with_metadata(documents: DataFrame, text: str, kept: Sequence[str], metadata: Sequence[str], start) -> DataFrame:
+    """The same over texts and the values of other columns."""
+    others = [col(c).alias(f"llm_metadata_{i}") for i, c in enumerate(metadata)]
+    source = documents.select(*[col(c) for c in kept], col(text).cast("string").alias("llm_text"), *others)
+    schema = T.StructType([documents.schema[c] for c in kept] + [T.StructField("quality_score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+    at = len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+            for lo, hi in text_slices(lengths):
+                part = batch.slice(lo, hi - lo)
+                values = list(zip(*[c.to_pylist() for c in part.columns[at + 1 :]]))
+                new = step([t or "" for t in part.column(at).to_pylist()], values)
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(new["quality_score"], pa.float64())], schema=arrow)
+
+    return source.mapInArrow(run, schema)
 
 
 def keep_good(documents: DataFrame, model: Machine | None, threshold: float = 0.3, text: str = "text") -> DataFrame:

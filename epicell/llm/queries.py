@@ -59,7 +59,7 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").where(~held_out(5, 0))
-    model = quality.train(documents, labels)
+    model = quality.train(documents, labels, metadata=["n_chars"])
     scored = quality.score_quality(documents, model, keep=["doc_id"])
     return scored.select(
         "doc_id",

@@ -128,3 +128,33 @@ def test_more_than_two_hundred_languages_are_sampled(spark):
     rows = spark.range(2010).selectExpr("id AS doc_id", "concat('text of language ', id % 201) AS text", "concat('l', id % 201) AS lang")
     found = byte_cnn.language_sample(rows, "doc_id", "text", "lang")
     assert len({lang for _, lang in found}) == 201
+
+
+def test_metadata_is_a_feature_of_its_own(spark):
+    # the label is in the metadata alone
+    rows = [(i, "the same words everywhere", float(10 ** (i % 2 * 3)), "ab"[i % 2], None, i % 2) for i in range(200)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, size double, kind string, empty string, quality int")
+    for columns in (["size"], ["kind", "empty"]):
+        model = quality.train(documents, documents, metadata=columns)
+        scored = quality.score_quality(documents, model, keep=["doc_id"]).collect()
+        assert all((r.quality_score > 0.5) == (r.doc_id % 2 == 1) for r in scored)
+    plain = quality.train(documents, documents)
+    assert plain.metadata == () and len({r.quality_score for r in quality.score_quality(documents, plain).collect()}) == 1
+    marks = [quality.metadata_mark("n", v) for v in (None, float("nan"), 0, -5, 5, "x", True)]
+    assert len(set(marks)) == 6 and marks[0] == marks[1]
+
+
+def test_factorisation_with_metadata_equals_the_sum_over_pairs():
+    rng = np.random.default_rng(6)
+    inputs = quality.Reader().read(["a b b c", "", "a"], [(3, "x"), (None, "x"), (3, "y")], ("n", "s"))
+    size = quality.WORD_BUCKETS + quality.STATISTICS
+    m = quality.Machine(0.3, rng.normal(size=size), rng.normal(size=(size, quality.FACTORS)), np.zeros(quality.STATISTICS), np.full(quality.STATISTICS, 9.0))
+    statistics = inputs.statistics(m)
+    for i, got in enumerate(m.score(inputs)):
+        mine = inputs.owner == i
+        places = [*inputs.bucket[mine], *range(quality.WORD_BUCKETS, size)]
+        x = np.array([*inputs.value[mine], *statistics[i]])
+        want = 0.3 + m.linear[places] @ x
+        want += sum(x[a] * x[b] * (m.factors[places[a]] @ m.factors[places[b]]) for a in range(len(x)) for b in range(a + 1, len(x)))
+        assert got == pytest.approx(want)
+    assert [(inputs.owner == i).sum() for i in range(3)] == [5, 2, 3]
