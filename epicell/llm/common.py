@@ -19,6 +19,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BATCH_CHARS = 2_000_000
 
 
+# what a Python worker forgets when it turns to another job: functions that empty memories kept for later tasks
+forgotten_between_jobs: list[Callable[[], None]] = []
+
+
+def turn_to_another_job() -> None:
+    for forget in forgotten_between_jobs:
+        forget()
+
+
 _shipped: set[str] = set()
 
 
@@ -81,6 +90,7 @@ def map_texts(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to_another_job()
         step = start()
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from epicell.llm.bpe import Vocabulary
-from epicell.llm.common import col, text_slices
+from epicell.llm.common import col, forgotten_between_jobs, text_slices
 from epicell.session import settle
 
 WINDOW = 4096
@@ -118,6 +118,7 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+forgotten_between_jobs.append(_encoders.clear)
 
 
 def word_encoder(path: str) -> WordEncoder:
