@@ -11,7 +11,7 @@ Everything is an equi-join on integer keys; Spark chooses the strategy by measur
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,8 @@ from epicell.operators.cells import cell_center, cell_reach_km, explode_cover, h
 from epicell.session import settle
 
 MAX_CELLS_PER_OBJECT = 64
+# candidates of a query cell that an event meets in one row
+LIST_ROWS = 512
 
 
 class SphereGrid:
@@ -140,7 +142,8 @@ def _placed(grid, objects: DataFrame, box: tuple[str, str, str, str] | None) ->
 def candidates(
     grid, queries: DataFrame, objects: DataFrame, distance: Column, box: tuple[str, str, str, str] | None = None
 ) -> DataFrame:
-    """(qcell, object columns): all objects that can be nearest to some point of the query cell.
+    """(qcell, lists, object columns): all objects that can be nearest to some point of the query cell, and how many
+    lists of about LIST_ROWS they fill.
 
     `queries` has `qcell`; `objects` has an anchor point (oa, ob) and, when extended, the four
     corner columns of `box`. `distance` is the exact distance of (qa, qb) to an object.
@@ -179,19 +182,30 @@ def candidates(
     # written once: read twice below, and its true size decides how the events are joined with it
     found = settle(found, "candidates")
     # step 3: the bound was for cells, the nearest object itself is closer
-    closest = found.groupBy("qcell").agg(F.min("from_center").alias("closest"))
+    lists = F.ceil(F.count(F.lit(1)) / LIST_ROWS).alias("lists")
+    closest = found.groupBy("qcell").agg(F.min("from_center").alias("closest"), lists)
     kept = found.join(closest, "qcell").where(F.col("from_center") <= F.col("closest") + F.col("q_reach") * 2)
-    return kept.select("qcell", *objects.columns)
+    return kept.select("qcell", "lists", *objects.columns)
 
 
-def _closest(events: DataFrame, found: DataFrame, gap: Column, payload: Sequence[str], carry: Sequence[str]) -> DataFrame:
-    """One row per event: the closest candidate, ties by payload order (the id comes first).
+def _closest(
+    events: DataFrame, found: DataFrame, gap: Callable[[Column, Column], Column], payload: Sequence[str], carry: Sequence[str]
+) -> DataFrame:
+    """One row per event: the closest candidate, ties by payload order (the id comes first). `gap` is the distance to
+    a candidate at (oa, ob).
 
-    An event without a candidate, because there is no object or it has no place, keeps a row of NULLs.
+    An event meets the candidates of its cell as lists and keeps the best of each, so what is sorted by event grows with
+    the events and not with the pairs. An event without a candidate, because there is no object or it has no
+    place, keeps a row of NULLs.
     """
-    joined = events.join(found.withColumn("found", F.lit(True)), "qcell", "left")
-    best = F.min(F.struct(F.when(F.col("found"), gap).alias("gap"), *payload)).alias("best")
-    return joined.groupBy(*carry).agg(best).select(*carry, "best.*")
+    columns = [c for c in found.columns if c not in ("qcell", "lists")]
+    dealt = F.pmod(F.xxhash64(*columns), F.col("lists"))
+    near = found.groupBy("qcell", dealt.alias("list")).agg(F.collect_list(F.struct(*columns)).alias("near"))
+    joined = events.join(near.drop("list"), "qcell", "left")
+    ranked = F.transform("near", lambda o: F.struct(gap(o["oa"], o["ob"]).alias("gap"), *[o[c].alias(c) for c in payload]))
+    first = joined.select(*carry, F.array_min(ranked).alias("first"))
+    best = F.min(F.struct(*[F.col("first")[c].alias(c) for c in ("gap", *payload)])).alias("best")
+    return first.groupBy(*carry).agg(best).select(*carry, "best.*")
 
 
 def _sphere_events(events: DataFrame) -> DataFrame:
@@ -210,8 +224,7 @@ def nearest_point(events: DataFrame, points: DataFrame, payload: Sequence[str])
     grid = SphereGrid()
     placed = _sphere_events(events)
     found = candidates(grid, placed, points, haversine_km(F.col("qa"), F.col("qb"), F.col("oa"), F.col("ob")))
-    gap = haversine_km(F.col("latitude"), F.col("longitude"), F.col("oa"), F.col("ob"))
-    return _closest(placed, found, gap, payload, ["event_id"])
+    return _closest(placed, found, lambda a, b: haversine_km(F.col("latitude"), F.col("longitude"), a, b), payload, ["event_id"])
 
 
 def usable_stations(stations: DataFrame) -> DataFrame:
@@ -302,7 +315,6 @@ def nearest_centroid_attr(
     objects = line_centroids(segments)
     placed = _plane_events(events)
     found = candidates(grid, placed, objects, F.hypot(F.col("qa") - F.col("oa"), F.col("qb") - F.col("ob")))
-    gap = F.hypot(F.col("ex") - F.col("oa"), F.col("ey") - F.col("ob"))
-    best = _closest(placed, found, gap, ["line_id"], ["event_id"])
+    best = _closest(placed, found, lambda a, b: F.hypot(F.col("ex") - a, F.col("ey") - b), ["line_id"], ["event_id"])
     coded = line_types.select("line_id", encode_slip(F.col("slip_type")).alias(name))
     return best.join(coded, "line_id", "left").select("event_id", F.coalesce(F.col(name), F.lit(0)).alias(name))
