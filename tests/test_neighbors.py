@@ -198,3 +198,23 @@ def test_repeated_side_is_shuffled_without_vectors(spark):
     above, below = pairs._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)
     assert "AS l_x" in above and "AS l_x" not in below
     assert pairs.count() == sum(1 for a in range(30) for b in range(30) if 0 < a - b <= 24 and (a - b) / 50 * 111.195 <= 200)
+
+
+def test_pairs_of_one_cell_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "PAIR_BLOCK_ROWS", 50)
+    monkeypatch.setattr(neighbors, "LIST_ROWS", 8)
+    # 300 places of one cell, one event there 100 times over, one without a place
+    at = [(i, 10.0 + i / 1000, 20.0 + (i * 7 % 300) / 1000) for i in range(300)] + [(5, 10.5, 20.5)] * 100
+    df = spark.createDataFrame([*at, (900, None, 20.0)], "event_id long, latitude double, longitude double")
+    pairs = radius_join(df, df).withColumn("task", F.spark_partition_id())
+    got = pairs.groupBy("left_id", "right_id", "task").agg(F.count(F.lit(1)).alias("n"), F.sum("distance_km").alias("km")).toPandas()
+    assert got["n"].sum() == 400 * 400 and got["task"].nunique() > 8
+    ids, places = np.array([a[0] for a in at]), np.array([a[1:] for a in at])
+    far = pd.DataFrame(km(places, places), index=ids, columns=ids).stack().reset_index()
+    far.columns = ["left_id", "right_id", "km"]
+    want = far.groupby(["left_id", "right_id"])["km"].agg(["size", "sum"])
+    seen = got.groupby(["left_id", "right_id"])[["n", "km"]].sum()
+    assert (seen["n"] == want["size"]).all() and np.allclose(seen["km"], want["sum"], atol=1e-8, rtol=0)
+    rows = df.where("event_id < 900").groupBy(*df.columns).count().select("*", F.explode(F.sequence(F.lit(1), "count")).alias("copy"))
+    lists = neighbors.in_lists(rows.withColumn("cell", F.lit(1)), ["cell"])
+    assert lists.agg(F.max(F.size("near"))).first()[0] <= 30
