@@ -37,10 +37,12 @@ class TimeSpan:
     lo: int
     hi: int
     hi_open: bool = False
+    # a bucket is so many spans long
+    spans: int = 1
 
     @property
     def width(self) -> int:
-        return max(1, self.hi - self.lo)
+        return max(1, (self.hi - self.lo) * self.spans)
 
     def left_buckets(self) -> Column:
         last = self.hi - 1 if self.hi_open else self.hi
@@ -80,18 +82,9 @@ def near_pairs(
     l_xyz = dict(zip(("l_x", "l_y", "l_z"), unit_xyz(*[F.col(c) for c in left_at])))
     r_xyz = dict(zip(("r_x", "r_y", "r_z"), unit_xyz(*[F.col(c) for c in right_at])))
 
-    l_keyed = explode_cover(left, *left_at, km, deg)
-    r_keyed = right.withColumns(r_xyz).withColumn("cell", home_cell(*[F.col(c) for c in right_at], deg))
-    keys = ["cell"]
-    if span is not None:
-        l_keyed = l_keyed.withColumn("bucket", F.explode(span.left_buckets()))
-        r_keyed = r_keyed.withColumn("bucket", span.right_bucket())
-        keys.append("bucket")
-
     smaller = {"block_rows": PAIR_BLOCK_ROWS} if listed else {}
-    l_keyed, r_keyed, keys = cut_hot_blocks(
-        l_keyed, r_keyed, keys, left_rows=rows_at_most(left, left_at, km, span, deg), **smaller
-    )
+    l_keyed, r_keyed, keys = in_blocks(left, right, left_at, right_at, km, span, deg, **smaller)
+    r_keyed = r_keyed.withColumns(r_xyz)
     # the repeated side is dealt out without its vectors, which are made from the place where it arrives
     l_keyed = (l_keyed.repartition(tasks(left), *keys) if listed else l_keyed.repartition(*keys)).withColumns(l_xyz)
 
@@ -114,6 +107,35 @@ def near_pairs(
     return pairs.drop("l_x", "l_y", "l_z", "r_x", "r_y", "r_z", *keys)
 
 
+def in_blocks(
+    left: DataFrame,
+    right: DataFrame,
+    left_at: tuple[str, str],
+    right_at: tuple[str, str],
+    km: float,
+    span: TimeSpan | None,
+    deg: float = CELL_DEG,
+    **cut: int,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides under the keys of their blocks, hot blocks cut: rows within `km` and the span meet in exactly one.
+
+    A left row is repeated only for cells that have a right row. Their number is bounded by the globe; they are written
+    first, so Spark knows how few they are.
+    """
+    keys = ["cell"]
+    r_keyed = right.withColumn("cell", home_cell(*[F.col(c) for c in right_at], deg))
+    if span is not None:
+        r_keyed = r_keyed.withColumn("bucket", span.right_bucket())
+        keys.append("bucket")
+    right_rows = settle(r_keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), "block-rows")
+    occupied = settle(right_rows.select("cell").distinct(), "occupied-cells")
+    l_keyed = explode_cover(left, *left_at, km, deg).join(occupied, "cell", "left_semi")
+    if span is not None:
+        l_keyed = l_keyed.withColumn("bucket", F.explode(span.left_buckets()))
+    left_rows = rows_at_most(left, left_at, km, span, deg)
+    return cut_hot_blocks(l_keyed, r_keyed, keys, left_rows=left_rows, right_rows=right_rows, **cut)
+
+
 def tasks(df: DataFrame) -> int:
     """Partitions for few bytes with much work: several for each core. A given number is not merged by size."""
     spark = df.sparkSession
@@ -153,24 +175,29 @@ def rows_at_most(left: DataFrame, left_at: tuple[str, str], km: float, span: Tim
 
 
 def cut_hot_blocks(
-    left: DataFrame, right: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS, left_rows: DataFrame | None = None
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    block_rows: int = BLOCK_ROWS,
+    left_rows: DataFrame | None = None,
+    right_rows: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Cut every block with too many rows into a grid of (left part, right part) tiles.
 
     Each left row goes to one left part and is repeated for all right parts, and the other
-    way round, so each pair still meets in exactly one tile. Block counts are partial sums; `left_rows` (keys, rows)
-    may bring bounds of those of the left side, since a block that is cut too finely still is right.
+    way round, so each pair still meets in exactly one tile. Block counts are partial sums; `left_rows` and `right_rows`
+    (keys, rows) may bring them or bounds of them, since a block that is cut too finely still is right.
     Only blocks that need cutting are kept. They are written first: Spark then knows how few they
     are, and does not shuffle a side by the very key that is to be cut.
     """
 
-    def sized(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    def sized(df: DataFrame, rows: DataFrame | None, name: str) -> DataFrame:
+        rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")) if rows is None else rows
+        return rows.select(*keys, F.ceil(F.col("rows") / block_rows).cast("int").alias(name))
 
-    bounded = None if left_rows is None else left_rows.select(*keys, F.ceil(F.col("rows") / block_rows).cast("int").alias("l_parts"))
     hot = (
-        (sized(left, "l_parts") if bounded is None else bounded)
-        .join(sized(right, "r_parts"), keys)
+        sized(left, left_rows, "l_parts")
+        .join(sized(right, right_rows, "r_parts"), keys)
         .where((F.col("l_parts") > 1) | (F.col("r_parts") > 1))
     )
     hot = settle(hot, "hot-blocks")

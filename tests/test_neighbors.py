@@ -218,3 +218,13 @@ def test_pairs_of_one_cell_are_dealt_to_many_tasks(spark, monkeypatch):
     rows = df.where("event_id < 900").groupBy(*df.columns).count().select("*", F.explode(F.sequence(F.lit(1), "count")).alias("copy"))
     lists = neighbors.in_lists(rows.withColumn("cell", F.lit(1)), ["cell"])
     assert lists.agg(F.max(F.size("near"))).first()[0] <= 30
+
+
+def test_left_rows_are_repeated_only_for_cells_with_right_rows(spark):
+    """A disc meets several cells; the one right row, beside a row without a place, lies in one of them."""
+    left = spark.createDataFrame([(i, 45.0 + i / 100, 7.0) for i in range(20)], "a long, la double, lo double")
+    right = spark.createDataFrame([(1, 45.5, 7.5), (2, None, 7.5)], "b long, lb double, lp double")
+    l_keyed, _, _ = neighbors.in_blocks(left, right, ("la", "lo"), ("lb", "lp"), 200.0, None)
+    assert sorted(r.a for r in l_keyed.collect()) == list(range(20))
+    pairs = near_pairs(left, right, ("la", "lo"), ("lb", "lp"), 200.0).select("a", "b").collect()
+    assert sorted((r.a, r.b) for r in pairs) == [(i, 1) for i in range(20)]
