@@ -58,8 +58,9 @@ def _first_gap(events: DataFrame, catalog: DataFrame, last_day: int, km: float)
     follow-up in reach for NEAR_DAYS, so of each later stretch of that length only the first day per
     place can matter, and the second pass runs on that much smaller catalogue.
     """
-    spots = _distinct_spots(events, _day(), SPOT)
-    later = _distinct_spots(catalog.where(_is_followup_size(F.col("magnitude"))), _day(), NEAR)
+    # both sides of a join are read to count its blocks, and again for its rows
+    spots = settle(_distinct_spots(events, _day(), SPOT), "spots")
+    later = settle(_distinct_spots(catalog.where(_is_followup_size(F.col("magnitude"))), _day(), NEAR), "instants")
 
     def gaps(open_spots: DataFrame, days: DataFrame, first: int, last: int) -> DataFrame:
         span = TimeSpan(SPOT[2], NEAR[2], first, last)
@@ -71,7 +72,8 @@ def _first_gap(events: DataFrame, catalog: DataFrame, last_day: int, km: float)
     soon = settle(gaps(spots, later, 1, NEAR_DAYS), "followups")
     stretch = floor_div(F.col(NEAR[2]), NEAR_DAYS)
     thinned = later.groupBy(*NEAR[:2], stretch.alias("stretch")).agg(F.min(NEAR[2]).alias(NEAR[2])).drop("stretch")
-    open_spots = spots.join(soon, list(SPOT), "left_anti")
+    thinned = settle(thinned, "thinned")
+    open_spots = settle(spots.join(soon, list(SPOT), "left_anti"), "open")
     return soon.unionByName(gaps(open_spots, thinned, NEAR_DAYS + 1, last_day))
 
 
@@ -145,8 +147,8 @@ def elapsed_since_last(
     window statistics have them.
     """
     strong = catalog.where(F.col("magnitude") >= min_mag)
-    instants = _distinct_spots(strong, F.col("event_us"), NEAR)
-    spots = _distinct_spots(targets, F.col("event_us"), SPOT)
+    instants = settle(_distinct_spots(strong, F.col("event_us"), NEAR), "instants")
+    spots = settle(_distinct_spots(targets, F.col("event_us"), SPOT), "spots")
 
     def latest(open_spots: DataFrame, history: DataFrame, days: int | None) -> DataFrame:
         span = None if days is None else TimeSpan(SPOT[2], NEAR[2], -days * DAY_US, 0, hi_open=True)
@@ -160,7 +162,7 @@ def elapsed_since_last(
         first = passes[0]
         bucket = floor_div(F.col(NEAR[2]), first * DAY_US)
         thinned = instants.groupBy(*NEAR[:2], bucket.alias("thin_bucket")).agg(F.max(NEAR[2]).alias(NEAR[2]))
-        thinned = thinned.drop("thin_bucket")
+        thinned = settle(thinned.drop("thin_bucket"), "thinned")
         if known is None:
             answered = latest(spots, instants, first)
         else:
@@ -169,7 +171,7 @@ def elapsed_since_last(
         for days in [*passes[1:], None]:
             # each pass reads the answers twice (what is open, what is known): write them once
             answered = settle(answered, "elapsed")
-            open_spots = spots.join(answered, list(SPOT), "left_anti")
+            open_spots = settle(spots.join(answered, list(SPOT), "left_anti"), "open")
             answered = answered.unionByName(latest(open_spots, thinned, days))
 
     elapsed = (F.col("event_us") - F.col("last_us")) / F.lit(float(SECOND_US))

@@ -36,6 +36,7 @@ from epicell.functions.seismic import (
 from epicell.functions.timeparse import year_of_us
 from epicell.operators.block_sums import block_sums
 from epicell.operators.neighbors import TimeSpan, in_blocks
+from epicell.session import settle
 
 # spread is summed around these values, which keeps the squares small
 MAG_SHIFT = 5.0
@@ -94,7 +95,8 @@ def neighborhood_stats(
     appear.
     """
     at = [F.col(c).alias(a) for c, a in zip(("latitude", "longitude", "event_us"), AT)]
-    spots = targets.select(*at).distinct()
+    # both sides are read to count the blocks, and again for their rows
+    spots = settle(targets.select(*at).distinct(), "spots")
 
     in_any = None
     for condition, _ in families.values():
@@ -114,6 +116,7 @@ def neighborhood_stats(
         )
     )
 
+    weighted = settle(weighted, "weighted")
     by_class = _sums_by_class(spots, weighted, {fam: stats for fam, (_, stats) in families.items()}, sorted(windows), km)
     within = {w: F.col("window_class") <= w for w in windows}
     return by_class.groupBy(*AT).agg(

@@ -92,7 +92,8 @@ def compute_features(events: DataFrame, rolling: DataFrame, hist: DataFrame, geo
 
 def batch_features(targets: DataFrame, context: DataFrame, plate_segments: DataFrame) -> DataFrame:
     """One row per target: keys, reference columns, 41 window, 9 context columns, plate distance."""
-    merged = encode_first_seen(union_catalogs(targets, context), among=F.col("is_target"))
+    # read by every search below, which have no use for the codes
+    merged = settle(union_catalogs(targets, context), "merged")
     wanted = merged.where("is_target")
     families = {"m4": m4_family(), "m2": context_family()}
     # read twice below: for the windows and as the first answers of the elapsed search
@@ -102,8 +103,9 @@ def batch_features(targets: DataFrame, context: DataFrame, plate_segments: DataF
         columns |= batch_columns("m4", w)
     for w in M2_WINDOWS_DAYS:
         columns |= m2_columns("m2", w, live=False)
-    reference = [c for c in REFERENCE_COLUMNS if c in merged.columns]
-    windows = attach(wanted, stats).select(
+    coded = encode_first_seen(merged, among=F.col("is_target")).where("is_target")
+    reference = [c for c in REFERENCE_COLUMNS if c in coded.columns]
+    windows = attach(coded, stats).select(
         "event_id",
         "event_us",
         F.date_format(F.timestamp_micros("event_us"), "yyyy-MM-dd HH:mm:ss").alias("datetime"),
